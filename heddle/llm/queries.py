@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import bpe
+from heddle.llm import bpe, warc
+from heddle.llm.scratch import Scratch
 from heddle.session import attach, table
 
 #: The vocabulary file of the tokenizer queries.
@@ -27,8 +28,17 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page through WARC archives and back."""
+    scratch = Scratch(attach(spark), "op2")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    warc.write(warc.with_roles(pages, scratch), scratch.at("archives"))
+    scratch.drop("first")
+    return warc.read(spark, scratch.at("archives")).where("reason is null").select(warc.page_number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_number("refers_to").alias("refers_to"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe}
+    return {f.__name__: f for f in (op1_bpe, op2_warc)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import bpe, warc
+from heddle.llm import bpe, mixing, warc
 from heddle.llm.scratch import Scratch
 from heddle.session import attach, table
 
@@ -37,8 +37,15 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, scratch.at("archives")).where("reason is null").select(warc.page_number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_number("refers_to").alias("refers_to"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of every document."""
+    docs = table(attach(spark), sf_dir, "documents").select("doc_id", "source", mixing.sizes().alias("size"))
+    mixed = mixing.mix(docs, ["doc_id"], Scratch(spark, "op4"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_warc)}
+    return {f.__name__: f for f in (op1_bpe, op2_warc, op4_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

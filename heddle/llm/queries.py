@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import bpe, mixing, warc
+from heddle.llm import bpe, mixing, quality, warc
 from heddle.llm.scratch import Scratch
 from heddle.session import attach, table
 
@@ -44,8 +44,15 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's counts and the verdict on it; a document's host is its source."""
+    docs = table(attach(spark), sf_dir, "documents")
+    rated = quality.assess(docs, Scratch(spark, "op6"), ["doc_id"])
+    return rated.select("doc_id", *quality.MEASURES, "base_failed", "kept", "removed_words")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_warc, op4_mixing)}
+    return {f.__name__: f for f in (op1_bpe, op2_warc, op4_mixing, op6_quality)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import bpe, mixing, quality, warc
+from heddle.llm import bpe, licenses, mixing, quality, warc
 from heddle.llm.scratch import Scratch
 from heddle.session import attach, table
 
@@ -37,6 +37,12 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, scratch.at("archives")).where("reason is null").select(warc.page_number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_number("refers_to").alias("refers_to"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licences that every document names or quotes."""
+    docs = table(attach(spark), sf_dir, "documents")
+    return licenses.scan(docs, ["doc_id"]).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words the mix takes of every document."""
     docs = table(attach(spark), sf_dir, "documents").select("doc_id", "source", mixing.sizes().alias("size"))
@@ -52,7 +58,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_warc, op4_mixing, op6_quality)}
+    return {f.__name__: f for f in (op1_bpe, op2_warc, op3_licenses, op4_mixing, op6_quality)}
 
 
 def oracle_sql() -> dict[str, str]:

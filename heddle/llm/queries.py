@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import bpe, licenses, mixing, quality, warc
+from heddle.llm import bpe, licenses, mixing, quality, substrings, warc
 from heddle.llm.scratch import Scratch
 from heddle.session import attach, table
 
@@ -57,8 +57,14 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", *quality.MEASURES, "base_failed", "kept", "removed_words")
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without windows of 13 words that one with a smaller id has."""
+    docs = table(attach(spark), sf_dir, "documents").select("doc_id", "text")
+    return substrings.remove(docs, 13).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_warc, op3_licenses, op4_mixing, op6_quality)}
+    return {f.__name__: f for f in (op1_bpe, op2_warc, op3_licenses, op4_mixing, op6_quality, op7_substrings)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import bpe, licenses, mixing, quality, substrings, warc
+from heddle.llm import bpe, licenses, mixing, neardup, quality, substrings, warc
 from heddle.llm.scratch import Scratch
 from heddle.session import attach, table
 
@@ -63,8 +63,14 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove(docs, 13).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of links of 85 percent on shingles of 3 words."""
+    docs = table(attach(spark), sf_dir, "documents").select("doc_id", "text")
+    return neardup.link(docs, Scratch(spark, "op8"), 3, 85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_warc, op3_licenses, op4_mixing, op6_quality, op7_substrings)}
+    return {f.__name__: f for f in (op1_bpe, op2_warc, op3_licenses, op4_mixing, op6_quality, op7_substrings, op8_neardup)}
 
 
 def oracle_sql() -> dict[str, str]:

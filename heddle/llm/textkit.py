@@ -99,7 +99,7 @@ def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
 
 def window_hashes(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     """A hash of each run of k values; the last k - 1 results are over fewer and mean nothing."""
-    out = np.full(len(h), U64((seed * int(ODD) + k) % (1 << 64)), U64)
+    out = np.full(len(h), U64((seed * int(ODD) + int(k)) % (1 << 64)), U64)
     for i in range(min(k, len(h))):
         out *= _STEP
         out[: len(h) - i] += h[i:]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import bpe, licenses, mixing, neardup, quality, substrings, warc
+from heddle.llm import bpe, extraction, licenses, mixing, neardup, quality, substrings, warc
 from heddle.llm.scratch import Scratch
 from heddle.session import attach, table
 
@@ -69,8 +69,16 @@ def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.link(docs, Scratch(spark, "op8"), 3, 85)
 
 
+def op10_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page by its host's wrapper."""
+    pages = table(attach(spark), sf_dir, "pages").select("page_id", "url", "html", extraction.host().alias("host"))
+    found = Scratch(spark, "op10").put(extraction.wrappers(pages), "wrappers")
+    texts = extraction.extract(pages, found, ["page_id", "url"])
+    return texts.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_warc, op3_licenses, op4_mixing, op6_quality, op7_substrings, op8_neardup)}
+    return {f.__name__: f for f in (op1_bpe, op2_warc, op3_licenses, op4_mixing, op6_quality, op7_substrings, op8_neardup, op10_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:

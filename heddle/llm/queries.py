@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import bpe, extraction, licenses, mixing, neardup, quality, substrings, warc
+from heddle.llm import bpe, extraction, importance, kdtree, licenses, mixing, neardup, quality, substrings, warc
 from heddle.llm.scratch import Scratch
 from heddle.session import attach, table
 
@@ -50,6 +50,13 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best vectors of every vector whose id is divisible by 50."""
+    vectors = table(attach(spark), sf_dir, "embeddings").select("vec_id", "embedding")
+    found = kdtree.topk(vectors, vectors.where("vec_id % 50 = 0"), Scratch(spark, "op5"), 5)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's counts and the verdict on it; a document's host is its source."""
     docs = table(attach(spark), sf_dir, "documents")
@@ -69,6 +76,14 @@ def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.link(docs, Scratch(spark, "op8"), 3, 85)
 
 
+def op9_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents drawn to be like those labelled good and not toxic; as large a share as is labelled good."""
+    docs = table(attach(spark), sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels")
+    share = labels.agg(F.avg("quality")).first()[0]
+    return importance.resample(docs, labels.where("quality = 1 and toxic = 0"), Scratch(spark, "op9"), importance.SHARE if share is None else share)
+
+
 def op10_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page by its host's wrapper."""
     pages = table(attach(spark), sf_dir, "pages").select("page_id", "url", "html", extraction.host().alias("host"))
@@ -78,7 +93,7 @@ def op10_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_warc, op3_licenses, op4_mixing, op6_quality, op7_substrings, op8_neardup, op10_extraction)}
+    return {f.__name__: f for f in (op1_bpe, op2_warc, op3_licenses, op4_mixing, op5_topk, op6_quality, op7_substrings, op8_neardup, op9_importance, op10_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -9,8 +9,8 @@ rows, where the sorted order puts the longest common prefixes side by side: the
 Pairs whose sketches are near enough only connect classes into units; a unit's links are then confirmed on the
 full sets, made again from the texts, by a search that compares every reached class with all unreached ones.
 
-At a similarity of 0.85 a region of some tree holds a pair with probability 1 - (1 - 0.85^5)^24 = 1 - 8e-7, and
-the sketch passes it unless it errs by more than five standard deviations.
+At a similarity of 0.85 a region of some tree holds a pair with probability 1 - (1 - 0.85^5)^24 = 1 - 8e-7, at 0.8
+with 1 - 7e-5, and the sketch passes it unless it errs by more than five standard deviations.
 
 Units of more than UNIT classes are confirmed region by region instead, in all trees, so that no task holds more
 than UNIT sets; there a pair is compared where it is near in some tree's order.
@@ -42,8 +42,8 @@ TREES, DEPTH = 24, 5
 REGION, OVERLAP = 512, 64
 #: Classes of a unit that is confirmed in one task.
 UNIT = 4096
-#: Bits of the sketch, and how many may differ: at a similarity of 0.85, 9.6 do in the mean, with deviation 3.
-BITS, DIFFER = 128, 26
+#: Bits of the sketch, and by how many standard deviations more of them may differ than in the mean.
+BITS, DEVIATIONS = 128, 5.0
 _rng = np.random.default_rng(85)
 _A = _rng.integers(1, 1 << 62, TREES * DEPTH + BITS, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 _B = _rng.integers(1, 1 << 62, TREES * DEPTH + BITS, dtype=np.int64).astype(U64)
@@ -103,8 +103,14 @@ def signed(docs: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text")
     return docs.select(F.col(doc_id).cast("bigint").alias("id"), text).mapInArrow(run, "id bigint, n bigint, print1 bigint, print2 bigint, mins binary, bits binary")
 
 
-def forest(classes: DataFrame, parts: int) -> DataFrame:
-    """(a, b, tree, region): for each region's window, edges of its classes to the first one they are connected with.
+def differing(percent: int) -> int:
+    """How many bits of the sketches of two sets of a similarity may differ: one does with probability (1 - s) / 2."""
+    p = (1 - percent / 100) / 2
+    return int(BITS * p + DEVIATIONS * (BITS * p * (1 - p)) ** 0.5)
+
+
+def forest(classes: DataFrame, parts: int, differ: int) -> DataFrame:
+    """(a, b, region): for each region's window, edges of its classes to the first one they are connected with.
 
     classes: cls, mins, bits. Rows with a equal to b are not given.
     """
@@ -143,14 +149,14 @@ def forest(classes: DataFrame, parts: int) -> DataFrame:
             rows = np.concatenate([*held, rows])
             cut = np.flatnonzero((rows["prefix"][1:] != rows["prefix"][:-1]) | (rows["tree"][1:] != rows["tree"][:-1])) + 1
             last = int(cut[-1]) if len(cut) else 0
-            yield from _edges(rows[:last], cut[:-1])
+            yield from _edges(rows[:last], cut[:-1], differ)
             tail = rows[last:]
             while len(tail) >= 2 * REGION:
-                yield from _edges(tail[:REGION], np.zeros(0, int))
+                yield from _edges(tail[:REGION], np.zeros(0, int), differ)
                 tail = tail[REGION - OVERLAP :]
             held = [tail]
         if held:
-            yield from _edges(held[0], np.zeros(0, int))
+            yield from _edges(held[0], np.zeros(0, int), differ)
 
     rows = classes.select("cls", "mins", "bits").mapInArrow(plant, "tree tinyint, prefix bigint, rest bigint, cls bigint, bits binary")
     ordered = rows.repartitionByRange(parts, "tree", "prefix", "rest", "cls").sortWithinPartitions("tree", "prefix", "rest", "cls")
@@ -160,7 +166,7 @@ def forest(classes: DataFrame, parts: int) -> DataFrame:
 _ROW = np.dtype([("tree", np.int8), ("prefix", np.int64), ("cls", np.int64), ("bits", U64, (2,))])
 
 
-def _edges(rows: np.ndarray, cut: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _edges(rows: np.ndarray, cut: np.ndarray, differ: int) -> Iterator[pa.RecordBatch]:
     """Edges within each region of complete regions' rows."""
     if len(rows) < 2:
         return
@@ -169,14 +175,14 @@ def _edges(rows: np.ndarray, cut: np.ndarray) -> Iterator[pa.RecordBatch]:
     two = begin[end - begin == 2]
     if len(two):
         x, y = rows[two], rows[two + 1]
-        near = np.bitwise_count(x["bits"] ^ y["bits"]).sum(1) <= DIFFER
+        near = np.bitwise_count(x["bits"] ^ y["bits"]).sum(1) <= differ
         made.append((x["cls"][near], y["cls"][near], x["prefix"][near]))
     for s, e in zip(begin.tolist(), end.tolist(), strict=True):
         if e - s < 3:
             continue
         for i in range(s, max(s + 1, e - OVERLAP), REGION - OVERLAP):
             part = rows[i : min(i + REGION, e)]
-            near = np.bitwise_count(part["bits"][:, None, :] ^ part["bits"][None, :, :]).sum(2) <= DIFFER
+            near = np.bitwise_count(part["bits"][:, None, :] ^ part["bits"][None, :, :]).sum(2) <= differ
             label = np.full(len(part), -1)
             for v in range(len(part)):
                 if label[v] >= 0:
@@ -191,8 +197,8 @@ def _edges(rows: np.ndarray, cut: np.ndarray) -> Iterator[pa.RecordBatch]:
                 made.append((part["cls"][other], part["cls"][label[other]], part["prefix"][other] + i - s))
     if made:
         a, b, region = (np.concatenate(x) for x in zip(*made, strict=True))
-        differ = a != b
-        yield pa.RecordBatch.from_arrays([pa.array(a[differ]), pa.array(b[differ]), pa.array(region[differ])], names=["a", "b", "region"])
+        two = a != b
+        yield pa.RecordBatch.from_arrays([pa.array(a[two]), pa.array(b[two]), pa.array(region[two])], names=["a", "b", "region"])
 
 
 def linked(sets_: list[np.ndarray], percent: int) -> np.ndarray:
@@ -248,7 +254,7 @@ def link(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 80, doc_i
     )
     classes = scratch.put(classes, "classes")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    near = scratch.put(forest(classes, parts), "near")
+    near = scratch.put(forest(classes, parts, differing(percent)), "near")
     units = scratch.put(components(near, scratch, "units"), "unit_of")
     size = units.groupBy("root").agg(F.count("*").alias("size"))
     sized = scratch.put(units.join(size, "root"), "sized")

@@ -39,5 +39,9 @@ class Scratch:
         """Deletes tables that nothing still to be run reads."""
         jvm = self.spark.sparkContext._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.at(name))
+            path = jvm.org.apache.hadoop.fs.Path(self.at(name).rstrip("/"))
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def remove(self) -> None:
+        """Deletes all tables of this run."""
+        self.drop("")

@@ -66,7 +66,7 @@ def recompress(h: np.ndarray, doc: np.ndarray, times: int) -> tuple[np.ndarray,
     at = np.arange(n)
     name, lo, hi = h, at, at
     for k in range(times):
-        salt = U64(2 * k + 1) * U64(0x9E3779B97F4A7C15)
+        salt = U64((2 * k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
         same_doc = doc[1:] == doc[:-1]
         # runs: a symbol depends on its neighbours, as they end its run
         left = np.concatenate((lo[:1] - 1, np.where(same_doc, lo[:-1], lo[1:] - 1)))
@@ -255,8 +255,9 @@ def _masks(table: pa.Table, step: int) -> dict[int, bytes]:
     return {b: m for s, b, m in zip(table.column("step").to_pylist(), table.column("bucket").to_pylist(), table.column("mask").to_pylist(), strict=True) if s == step}
 
 
-def remove(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns in ``keep``, n_words, n_removed and kept_text (words joined by one space) of every row."""
+def remove(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), spacing: bool = False) -> DataFrame:
+    """doc_id, the columns in ``keep``, n_words, n_removed and kept_text of every row: the kept words joined by one
+    space, or each with the white space that follows it in the text (spacing)."""
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     chunks = max(1, -(-total // CHUNK))
     buckets = max(1, -(-total // (16 * BUCKET)))
@@ -297,7 +298,7 @@ def remove(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", text: str
             n.append(words.counts())
             lost = np.concatenate(([0], np.cumsum(off)))
             removed.append(lost[words.first[1:]] - lost[words.first[:-1]])
-            kept += _texts(data, words, ~off)
+            kept += _texts(data, words, ~off, spacing)
         return pa.table({"own": table.column("own"), "n_words": np.concatenate(n), "n_removed": np.concatenate(removed), "kept_text": pa.array(kept, pa.string())})
 
     answers = by_chunk.applyInArrow(first, _SENT).groupBy("bucket").applyInArrow(lambda t: _answers(t, 1), _MASK)
@@ -306,18 +307,23 @@ def remove(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", text: str
     return done.select("own.*", "n_words", "n_removed", "kept_text")
 
 
-def _texts(data: np.ndarray, words: Words, kept: np.ndarray) -> Iterator[str]:
-    """Each document's kept words joined by one space."""
+def _texts(data: np.ndarray, words: Words, kept: np.ndarray, spacing: bool) -> list[str]:
+    """Each document's kept words, with what follows them or joined by one space."""
     first = np.concatenate(([0], np.cumsum(kept)))[words.first]
-    start, end = words.start[kept], words.end[kept]
-    size = end - start + 1
+    until = words.end
+    if spacing:  # up to the next word of the document, or to its end
+        until = np.append(words.start[1:], len(data))
+        tails = words.first[1:][words.counts() > 0] - 1
+        until[tails] = words.offsets[1:][words.counts() > 0]
+    start, end = words.start[kept], until[kept]
+    size = end - start + (not spacing)
     ends = np.cumsum(size)
     out = np.full(int(ends[-1]) if len(ends) else 0, 32, np.uint8)
     at = np.repeat(start - (ends - size), size) + np.arange(len(out))
-    space = ends - 1
     body = np.ones(len(out), bool)
-    body[space] = False
+    if not spacing:
+        body[ends - 1] = False
     out[body] = data[at[body]]
     whole = out.tobytes()
     cut = np.concatenate(([0], ends))
-    return [whole[cut[a] : max(cut[b] - 1, cut[a])].decode() for a, b in zip(first[:-1], first[1:], strict=True)]
+    return [whole[cut[a] : max(cut[b] - (not spacing), cut[a])].decode().rstrip(" \t\n\v\f\r") if spacing else whole[cut[a] : max(cut[b] - 1, cut[a])].decode() for a, b in zip(first[:-1], first[1:], strict=True)]

@@ -98,7 +98,11 @@ def parse(data: bytes, at: int = 0, whole: bool = False) -> tuple[Found, int]:
         lines = data[at:stop].decode().split("\r\n")
     except UnicodeDecodeError:
         raise Damaged("header not in UTF-8") from None
+    if not all(":" in x for x in lines[1:]):
+        raise Damaged("header line without a name")
     headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    if len(headers) < len(lines) - 1:
+        raise Damaged("header field twice")  # a header that breaks off runs into the next one
     if not headers.get("content-length", "").isdigit():
         raise Damaged("no length")
     begin = stop + len(END)

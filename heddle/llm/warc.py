@@ -98,6 +98,8 @@ def parse(data: bytes, at: int = 0, whole: bool = False) -> tuple[Found, int]:
         lines = data[at:stop].decode().split("\r\n")
     except UnicodeDecodeError:
         raise Damaged("header not in UTF-8") from None
+    if not re.fullmatch(r"WARC/1\.[0-9]+[ \t]*", lines[0]):
+        raise Damaged("no version")
     if not all(":" in x for x in lines[1:]):
         raise Damaged("header line without a name")
     headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}

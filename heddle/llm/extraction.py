@@ -136,30 +136,23 @@ Item = tuple[str, bool, bool]
 
 
 def fold(items: list[Item]) -> list[Item]:
-    """Neighbouring equal groups as one repeated group, shorter groups first."""
+    """Neighbouring equal groups as one repeated group, shorter groups first. Groups are equal by their names; what is
+    optional or repeated in one of them is so in all."""
     for size in range(1, GROUP + 1):
         out: list[Item] = []
-        names: list[str] = []
         i = 0
         while i < len(items):
-            out.append(items[i])
-            names.append(items[i][0])
-            i += 1
-            while len(out) >= 2 * size and names[-size:] == names[-2 * size : -size]:
-                pair = list(zip(out[-2 * size : -size], out[-size:], strict=True))
-                del out[-2 * size :], names[-2 * size :]
-                merged = [(a[0], a[1] or b[1], a[2] or b[2] or size == 1) for a, b in pair]
-                if size > 1:
-                    merged = [(f"({' '.join(_shown(x) for x in merged)})", False, True)]
-                    out += merged
-                    names.append(merged[0][0])
-                    break
-                out += merged
-                names += [x[0] for x in merged]
-            if size > 1 and len(out) > 1 and out[-1][2] and out[-1][0].startswith("("):
-                # a further copy of the group just folded
-                while items[i : i + size] and f"({' '.join(_shown(x) for x in items[i : i + size])})" == out[-1][0]:
-                    i += size
+            group, j = items[i : i + size], i + size
+            names = [x[0] for x in group]
+            while j + size <= len(items) and [x[0] for x in items[j : j + size]] == names:
+                group = [(a[0], a[1] or b[1], a[2] or b[2]) for a, b in zip(group, items[j : j + size], strict=True)]
+                j += size
+            if j == i + size:
+                out.append(items[i])
+                i += 1
+            else:
+                out.append((names[0], group[0][1], True) if size == 1 else (f"({' '.join(map(_shown, group))})", False, True))
+                i = j
         items = out
     return items
 

@@ -96,5 +96,37 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_bpe, op2_warc, op3_licenses, op4_mixing, op5_topk, op6_quality, op7_substrings, op8_neardup, op9_importance, op10_extraction)}
 
 
+_SEPARATORS = r"[\x20\x09-\x0D]+"
+_NEXT = " || ' ' || ".join(["word", *(f"lead(word, {i}) OVER (PARTITION BY doc_id ORDER BY k)" for i in range(1, 13))])
+
+_SQL = {
+    "op5_topk": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) v FROM embeddings),
+s AS (SELECT a.vec_id query_id, b.vec_id, list_inner_product(a.v, b.v)::bigint score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::integer AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op7_substrings": f"""WITH l AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{_SEPARATORS}'), lambda x: x <> '') w FROM documents),
+u AS (SELECT doc_id, unnest(w) word, generate_subscripts(w, 1) k FROM l),
+g AS (SELECT doc_id, k, {_NEXT} g FROM u),
+f AS (SELECT g, min(doc_id) d FROM g WHERE g IS NOT NULL GROUP BY g),
+c AS (SELECT DISTINCT g.doc_id, unnest(range(g.k, g.k + 13)) k FROM g JOIN f ON g.g = f.g WHERE f.d < g.doc_id),
+m AS (SELECT doc_id, count(*) n FROM c GROUP BY doc_id),
+t AS (SELECT u.doc_id, string_agg(word, ' ' ORDER BY u.k) kept FROM u LEFT JOIN c ON u.doc_id = c.doc_id AND u.k = c.k WHERE c.k IS NULL GROUP BY u.doc_id)
+SELECT l.doc_id, len(w)::bigint AS n_words, coalesce(m.n, 0)::bigint AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM l LEFT JOIN m ON m.doc_id = l.doc_id LEFT JOIN t ON t.doc_id = l.doc_id""",
+    "op8_neardup": f"""WITH RECURSIVE l AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_SEPARATORS}'), lambda x: x <> '') w FROM documents),
+u AS (SELECT doc_id, unnest(w) word, generate_subscripts(w, 1) k FROM l WHERE len(w) >= 3),
+g AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, word || ' ' || lead(word) OVER (PARTITION BY doc_id ORDER BY k) || ' ' || lead(word, 2) OVER (PARTITION BY doc_id ORDER BY k) s FROM u) WHERE s IS NOT NULL
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM l WHERE len(w) IN (1, 2)),
+n AS (SELECT doc_id, count(*) n FROM g GROUP BY doc_id),
+i AS (SELECT x.doc_id a, y.doc_id b, count(*) i FROM g x JOIN g y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id),
+e AS (SELECT a, b FROM i JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * i >= 85 * (p.n + q.n - i)),
+d AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id, doc_id c FROM l UNION SELECT d.b, r.c FROM r JOIN d ON d.a = r.doc_id),
+k AS (SELECT doc_id, min(c) c FROM r GROUP BY doc_id)
+SELECT k.doc_id, coalesce(n.n, 0)::bigint AS n_shingles, k.c AS component_id, k.doc_id = k.c AS kept FROM k LEFT JOIN n ON n.doc_id = k.doc_id""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries whose rows it can give in reasonable time at the size at which it is run."""
+    return dict(_SQL)

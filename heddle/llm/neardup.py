@@ -12,12 +12,15 @@ full sets, made again from the texts, by a search that compares every reached cl
 At a similarity of 0.85 a region of some tree holds a pair with probability 1 - (1 - 0.85^5)^24 = 1 - 8e-7, at 0.8
 with 1 - 7e-5, and the sketch passes it unless it errs by more than five standard deviations.
 
-Units of more than UNIT classes are confirmed region by region instead, in all trees, so that no task holds more
-than UNIT sets; there a pair is compared where it is near in some tree's order.
+No task holds more than UNIT sets or HELD shingles. A larger unit is confirmed in two steps. First region by region,
+in all trees, which joins most of it. Then whatever isn't in the unit's largest component by then meets the whole
+unit, block by block, so that every pair in different components is compared: the result is that of one search.
 
 Scale: the trees are sorted by range over the whole key, so a group of near copies that holds a third of all rows
 is spread over many tasks; edges per region are a spanning forest, not pairs; classes absorb exact copies before
-anything else by an aggregation that combines on the map side.
+anything else by an aggregation that combines on the map side; a large unit's second step costs as many blocks as
+the few classes outside of its largest component need. Texts are fetched by id and a hash of the text, so a third of
+all rows without an id spread like any others.
 
 Edge cases: a null text, or one without words, has an empty set, which links with nothing; a null id is no
 smallest id, so a row without one gets its component's id, or null if nothing there has an id, and is kept only in
@@ -30,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heddle.llm.components import components
@@ -40,8 +43,8 @@ from heddle.llm.textkit import LOWER, U64, Words, blocks, mix, window_hashes
 TREES, DEPTH = 24, 5
 #: Rows of a region that are compared all with all, and rows that its next window takes over from the last.
 REGION, OVERLAP = 512, 64
-#: Classes of a unit that is confirmed in one task.
-UNIT = 4096
+#: Classes, and their shingles in all, that one task confirms.
+UNIT, HELD = 4096, 4 << 20
 #: Bits of the sketch, and by how many standard deviations more of them may differ than in the mean.
 BITS, DEVIATIONS = 128, 5.0
 _rng = np.random.default_rng(85)
@@ -90,17 +93,17 @@ def signatures(keys: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def signed(docs: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, n, print1, print2, mins (packed) and bits (packed) of every row."""
+    """id, hash (of the text), n, print1, print2, mins (packed) and bits (packed) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, offsets in blocks(batch.column(1)):
+            for i, j, data, offsets in blocks(batch.column(2)):
                 keys, first = sets(data, offsets, k)
                 p, q = prints(keys, first)
                 mins, bits = signatures(keys, first)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(first)), pa.array(p), pa.array(q), pa.array([x.tobytes() for x in mins], pa.binary()), pa.array([x.tobytes() for x in bits], pa.binary())], names=["id", "n", "print1", "print2", "mins", "bits"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in range(2)), pa.array(np.diff(first)), pa.array(p), pa.array(q), pa.array([x.tobytes() for x in mins], pa.binary()), pa.array([x.tobytes() for x in bits], pa.binary())], names=["id", "hash", "n", "print1", "print2", "mins", "bits"])
 
-    return docs.select(F.col(doc_id).cast("bigint").alias("id"), text).mapInArrow(run, "id bigint, n bigint, print1 bigint, print2 bigint, mins binary, bits binary")
+    return docs.select(F.col(doc_id).cast("bigint").alias("id"), F.xxhash64(text).alias("hash"), text).mapInArrow(run, "id bigint, hash bigint, n bigint, print1 bigint, print2 bigint, mins binary, bits binary")
 
 
 def differing(percent: int) -> int:
@@ -243,6 +246,41 @@ def linked(sets_: list[np.ndarray], percent: int) -> np.ndarray:
     return label
 
 
+def _parts(held: Column, most: int) -> Column:
+    return F.ceil(held / most).cast("int")
+
+
+def _of(key: str, parts: Column) -> Column:
+    return F.pmod(F.xxhash64(key), parts).cast("int")
+
+
+def _unit(first: str, region: Column, i: Column, j: Column) -> Column:
+    return F.struct(F.col(first).alias("first"), region.cast("bigint").alias("region"), i.cast("int").alias("i"), j.cast("int").alias("j")).alias("unit")
+
+
+def by_region(near: DataFrame, large: DataFrame) -> DataFrame:
+    """(cls, unit): the stars of large units' regions; a star of too much weight is cut, with its centre in each part."""
+    stars = near.join(large.select(F.col("v").alias("a"), "weight"), "a")
+    size = stars.groupBy("region", "b").agg(F.sum("weight").alias("held")).withColumn("parts", _parts(F.col("held"), HELD))
+    zero = F.lit(0)
+    arms = stars.join(size, ["region", "b"]).select(F.col("a").alias("cls"), _unit("b", F.col("region"), _of("a", F.col("parts")), zero))
+    centres = size.withColumn("i", F.explode(F.expr("sequence(0, parts - 1)"))).select(F.col("b").alias("cls"), _unit("b", F.col("region"), F.col("i"), zero))
+    return arms.union(centres)
+
+
+def remaining(large: DataFrame, roots: DataFrame) -> DataFrame:
+    """(cls, unit): pairs of blocks, of a large unit's classes outside of its largest component and of all its classes."""
+    at = large.join(roots.select("v", F.col("root").alias("of")), "v", "left").withColumn("of", F.coalesce("of", "v"))
+    held = at.groupBy("root", "of").agg(F.sum("weight").alias("held"))
+    units = held.groupBy("root").agg(F.max_by("of", F.struct("held", "of")).alias("main"), F.sum("held").alias("all"), F.max("held").alias("most")).where("all > most")
+    units = units.withColumn("rests", _parts(F.col("all") - F.col("most"), HELD // 2)).withColumn("alls", _parts(F.col("all"), HELD // 2))
+    both = at.join(units, "root")
+    rest = both.where("of != main").withColumn("i", _of("v", F.col("rests"))).withColumn("j", F.explode(F.expr("sequence(0, alls - 1)")))
+    every = both.withColumn("j", _of("v", F.col("alls"))).withColumn("i", F.explode(F.expr("sequence(0, rests - 1)")))
+    named = [x.select(F.col("v").alias("cls"), _unit("root", F.lit(-1), F.col("i"), F.col("j"))) for x in (rest, every)]
+    return named[0].union(named[1]).distinct()
+
+
 def link(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     spark = docs.sparkSession
@@ -250,24 +288,28 @@ def link(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 80, doc_i
     classes = (
         rows.where("n > 0")
         .groupBy("print1", "print2")
-        .agg(F.min("row").alias("cls"), F.min("id").alias("least"), F.count("*").alias("copies"), F.first("mins").alias("mins"), F.first("bits").alias("bits"))
+        .agg(
+            F.min("row").alias("cls"),
+            F.min("id").alias("least"),
+            F.coalesce(F.min_by("hash", "id"), F.min("hash")).alias("hash"),
+            F.count("*").alias("copies"),
+            F.first("n").alias("n"),
+            F.first("mins").alias("mins"),
+            F.first("bits").alias("bits"),
+        )
     )
     classes = scratch.put(classes, "classes")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     near = scratch.put(forest(classes, parts, differing(percent)), "near")
     units = scratch.put(components(near, scratch, "units"), "unit_of")
-    size = units.groupBy("root").agg(F.count("*").alias("size"))
-    sized = scratch.put(units.join(size, "root"), "sized")
-    whole = sized.where(F.col("size") <= UNIT).select(F.col("v").alias("cls"), F.struct(F.lit(0).cast("bigint").alias("region"), F.col("root").alias("first")).alias("unit"))
-    large = sized.where(F.col("size") > UNIT).select("v")
+    weight = F.greatest(F.col("n"), F.lit(HELD // UNIT))
+    weighed = units.join(classes.select(F.col("cls").alias("v"), weight.alias("weight")), "v")
+    sized = scratch.put(weighed.join(weighed.groupBy("root").agg(F.sum("weight").alias("held")), "root"), "sized")
+    members = sized.where(F.col("held") <= HELD).select(F.col("v").alias("cls"), _unit("root", F.lit(0), F.lit(0), F.lit(0)))
+    large = sized.where(F.col("held") > HELD).select("v", "root", "weight")
     split = not large.isEmpty()
-    if split:
-        stars = near.join(large, near["a"] == large["v"], "left_semi").select("a", "b", F.struct("region", F.col("b").alias("first")).alias("unit"))
-        whole = whole.unionByName(stars.select(F.col("a").alias("cls"), "unit").union(stars.select("b", "unit")).distinct())
-    members = whole.join(classes.select("cls", "print1", "print2", "least"), "cls")
-    # texts of the classes' first documents; a row that only shares its id is told from it by the fingerprints
-    texts = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
-    brought = members.join(texts, F.expr("least <=> id")).select("unit", "cls", "print1", "print2", "text")
+    # a class's text is that of a row with its least id; fingerprints tell it from others of the same hash
+    texts = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.xxhash64(text).alias("of"), F.col(text).alias("text"))
 
     def confirm(key: tuple, table: pa.Table) -> pa.Table:
         found: dict[int, np.ndarray] = {}
@@ -282,12 +324,23 @@ def link(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 80, doc_i
         names = np.array(names, np.int64)
         return pa.table({"a": names, "b": names[label] if len(names) else names})
 
-    links = scratch.put(brought.groupBy("unit").applyInArrow(confirm, "a bigint, b bigint"), "links")
-    roots = components(links, scratch, "links_cc") if split else links.select(F.col("a").alias("v"), F.col("b").alias("root"))
+    def confirmed(members: DataFrame, name: str) -> DataFrame:
+        """(a, b): every member, and the first of those that it is connected with in its unit."""
+        known = members.join(classes.select("cls", "print1", "print2", "least", "hash"), "cls")
+        brought = known.join(texts, F.expr("hash = of and least <=> id")).select("unit", "cls", "print1", "print2", "text")
+        return scratch.put(brought.groupBy("unit").applyInArrow(confirm, "a bigint, b bigint"), name)
+
+    links = confirmed(members.union(by_region(near, large)) if split else members, "links")
+    if split:
+        roots = scratch.put(components(links, scratch, "links_cc"), "linked")
+        links = links.union(confirmed(remaining(large, roots), "more_links"))
+        roots = components(links, scratch, "all_cc")
+    else:
+        roots = links.select(F.col("a").alias("v"), F.col("b").alias("root"))
     of = classes.select("cls", "print1", "print2", "least", "copies").join(roots, F.col("cls") == F.col("v"), "left").withColumn("root", F.coalesce("root", "cls"))
     groups = of.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("copies").alias("all"))
     known = scratch.put(of.join(groups.where("all > 1"), "root").select("print1", "print2", "component_id"), "known")
-    for name in ("near", "unit_of", "sized", "links"):
+    for name in ("near", "unit_of", "sized", "links", "linked", "more_links"):
         scratch.drop(name)
     done = rows.select("id", "n", "print1", "print2").join(known, ["print1", "print2"], "left")
     own = F.when((F.col("n") > 0) & F.col("component_id").isNotNull(), F.col("component_id")).otherwise(F.col("id"))

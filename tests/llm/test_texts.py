@@ -4,6 +4,8 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
+
 from heddle.llm import components, licenses, mixing, neardup, quality, queries, substrings
 from heddle.llm.scratch import Scratch
 from tests.llm import brute
@@ -158,6 +160,18 @@ def test_near(spark, monkeypatch, k, percent, unit):
     assert got == sorted(brute.near(rows, k, percent), key=brute.by_null)
 
 
+def test_large_unit_is_searched_whole(spark, monkeypatch):
+    """Without any region's help, the blocks of a large unit find all its links."""
+    monkeypatch.setattr(neardup, "UNIT", 8)
+    monkeypatch.setattr(neardup, "by_region", lambda near, large: large.limit(0).select(large["v"].alias("cls"), neardup._unit("root", F.lit(0), F.lit(0), F.lit(0))))
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(None if i % 5 == 0 else i, " ".join(rng.choice("xyz") if rng.random() < 0.03 else w for w in base)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, neardup.link(df, Scratch(spark, "t"), 3, 85).collect()), key=brute.by_null)
+    assert got == sorted(brute.near(rows, 3, 85), key=brute.by_null)
+
+
 def test_large_region_is_connected():
     import numpy as np
 

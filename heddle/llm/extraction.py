@@ -12,9 +12,11 @@ the body's, in both cases but for slots inside of elements that are menus, heade
 adverts, forms, scripts, styles or comments by their tag, role, class or id. A page whose host has an article slot
 but that fills none itself gets its other body slots.
 
-Scale: pages give their folded stream; distinct streams of a host are aligned in up to SALTS parts and the parts'
-wrappers are then aligned, so a host with a third of all pages is no single task. Wrappers, a few hundred bytes a
-host, are joined to pages by host; Spark broadcasts them if small and splits large hosts if not.
+Scale: pages give their folded stream. Distinct streams of a host are aligned some ALIGNED at a time, then the
+wrappers of these, level by level, so a host with a third of all pages, each different, is many small groups. A
+wrapper of more than LONG items has its runs of optional items made one repeated group of their different ones, so
+its length depends on a host's tags, not on its pages; long streams are aligned in linear time. Neither changes which
+slots there are. Wrappers are joined to pages by host; Spark broadcasts them if small and splits large hosts if not.
 
 Edge cases: a null or empty page has an empty text; pages without a url, or one that names no host, form a host of
 their own; broken tags end at the next ``<`` or the page's end; repeated rows give repeated results.
@@ -25,6 +27,8 @@ from __future__ import annotations
 import html as html_
 import json
 import re
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -33,7 +37,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 16
+from heddle.llm.scratch import Scratch
+
+#: Streams or wrappers of a host that one task aligns, about.
+ALIGNED = 64
+#: Items of a wrapper from which on its optional runs are generalised.
+LONG = 512
+#: Pairs of items up to which two streams are aligned by longest matches, and how far a linear alignment looks ahead.
+PAIRS, AHEAD = 1 << 18, 64
 #: The longest group that folding looks for, in tokens.
 GROUP = 12
 #: Elements whose contents aren't text, and those that are never part of an article.
@@ -54,6 +65,9 @@ _ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s
 _WORD = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _HEADING = re.compile(r"h[1-6](?:\W|$)")
+#: Characters of a tag that mean something in streams and wrappers.
+_MEANT = re.compile(r"[()*?+!@>#]")
+_INNER = re.compile(r"[^\s()*?+]+")
 
 
 def _element(tag: str, rest: str) -> str:
@@ -97,7 +111,7 @@ def stream(page: str) -> Iterator[tuple[str, str | None]]:
         at = m.end()
         if m["cdata"] is not None:
             held.append(m["cdata"])
-        tag = (m["tag"] or m["bad"] or "").lower()
+        tag = _MEANT.sub("_", (m["tag"] or m["bad"] or "").lower())
         if not tag:
             continue
         end = (m["end"] or m["open"]) == "/"
@@ -161,15 +175,52 @@ def _shown(item: Item) -> str:
     return item[0] + ("*" if item[1] and item[2] else "?" if item[1] else "+" if item[2] else "")
 
 
+def _blocks(a: list[str], b: list[str]) -> Iterator[tuple[int, int, int]]:
+    """(i, j, n) in order, so that a[i:i + n] matches b[j:j + n], and last both ends with n of 0."""
+    if len(a) * len(b) <= PAIRS:
+        yield from SequenceMatcher(None, a, b, False).get_matching_blocks()
+        return
+    places = defaultdict(list)
+    for i, x in enumerate(a):
+        places[x].append(i)
+    i = 0
+    for j, x in enumerate(b):
+        k = bisect_left(places[x], i) if x in places else 0
+        if x in places and k < len(places[x]) and places[x][k] - i <= AHEAD:
+            yield places[x][k], j, 1
+            i = places[x][k] + 1
+    yield len(a), len(b), 0
+
+
+def generalise(wrapper: list[Item]) -> list[Item]:
+    """A long wrapper's runs of optional items, each as one optional, repeated group of its different optional items."""
+    if len(wrapper) <= LONG:
+        return wrapper
+    out: list[Item] = []
+    i = 0
+    while i < len(wrapper):
+        j = i
+        while j < len(wrapper) and wrapper[j][1]:
+            j += 1
+        if j - i > 1:
+            inner = dict.fromkeys(x for text, _, _ in wrapper[i:j] for x in _INNER.findall(text))
+            out.append((f"({' '.join(f'{x}?' for x in inner)})", True, True))
+            i = j
+        else:
+            out.append(wrapper[i])
+            i += 1
+    return out
+
+
 def align(wrapper: list[Item], other: list[Item]) -> list[Item]:
     """A wrapper of what both match: what one side lacks is optional, and what either repeats repeats."""
     out: list[Item] = []
-    for kind, a, b, c, d in SequenceMatcher(None, [x[0] for x in wrapper], [x[0] for x in other], False).get_opcodes():
-        if kind == "equal":
-            out += [(x[0], x[1] or y[1], x[2] or y[2]) for x, y in zip(wrapper[a:b], other[c:d], strict=True)]
-        else:
-            out += [(x[0], True, x[2]) for x in [*wrapper[a:b], *other[c:d]]]
-    return fold(out)
+    a = b = 0
+    for i, j, n in _blocks([x[0] for x in wrapper], [x[0] for x in other]):
+        out += [(x[0], True, x[2]) for x in [*wrapper[a:i], *other[b:j]]]
+        a, b = i + n, j + n
+        out += [(x[0], x[1] or y[1], x[2] or y[2]) for x, y in zip(wrapper[i:a], other[j:b], strict=True)]
+    return generalise(fold(out))
 
 
 def infer(streams: list[list[Item]]) -> list[Item]:
@@ -209,7 +260,7 @@ def host(url: str = "url") -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def wrappers(pages: DataFrame, html: str = "html") -> DataFrame:
+def wrappers(pages: DataFrame, scratch: Scratch, html: str = "html") -> DataFrame:
     """(host, wrapper) of every host of pages with a column ``host``; a wrapper is JSON of its items."""
 
     def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,9 +272,15 @@ def wrappers(pages: DataFrame, html: str = "html") -> DataFrame:
         made = infer([[tuple(x) for x in json.loads(w)] for w in pdf["wrapper"]])
         return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(made)]})
 
-    kinds = pages.select("host", html).mapInArrow(folded, "host string, wrapper string").distinct()
-    parts = kinds.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS))).groupBy("host", "salt").applyInPandas(aligned, "host string, wrapper string")
-    return parts.groupBy("host").applyInPandas(aligned, "host string, wrapper string")
+    kinds, level = pages.select("host", html).mapInArrow(folded, "host string, wrapper string").distinct(), 0
+    while True:
+        kinds = scratch.put(kinds, f"kinds{level}")
+        counts = scratch.put(kinds.groupBy("host").agg(F.count("*").alias("n")), f"counts{level}")
+        if counts.where("n > 1").isEmpty():
+            return kinds
+        salt = F.pmod(F.xxhash64("wrapper"), F.ceil(F.col("n") / ALIGNED))
+        kinds = kinds.join(counts, "host").withColumn("salt", salt).groupBy("host", "salt").applyInPandas(aligned, "host string, wrapper string")
+        level += 1
 
 
 def text_of(page: str, role: dict[str, int]) -> str:

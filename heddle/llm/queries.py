@@ -87,7 +87,7 @@ def op9_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page by its host's wrapper."""
     pages = table(attach(spark), sf_dir, "pages").select("page_id", "url", "html", extraction.host().alias("host"))
-    found = Scratch(spark, "op10").put(extraction.wrappers(pages), "wrappers")
+    found = extraction.wrappers(pages, Scratch(spark, "op10"))
     texts = extraction.extract(pages, found, ["page_id", "url"])
     return texts.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
 

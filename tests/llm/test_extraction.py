@@ -1,10 +1,13 @@
 import html
+import json
+import random
 import re
 
 import pytest
 
 from heddle.llm import extraction as x
 from heddle.llm import queries
+from heddle.llm.scratch import Scratch
 
 DATA = "/root/testdata/sf0.001"
 
@@ -60,12 +63,40 @@ def test_frames(spark):
     rows = [(1, "http://H.x/1", "<article>a</article>"), (1, "http://h.x:80/2", "<article>a</article>"), (2, None, "<p>b"), (3, "nonsense", None), (4, "https://u@h.x", "")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, wrapper int").withColumn("host", x.host())
     assert sorted(r["host"] for r in df.collect()) == ["", "", "h.x", "h.x", "h.x"]
-    found = x.wrappers(df.drop("wrapper"))
+    found = x.wrappers(df.drop("wrapper"), Scratch(spark, "t"))
     got = sorted(map(tuple, x.extract(df.drop("wrapper"), found, ["page_id"]).collect()))
     assert got == [(1, "a"), (1, "a"), (2, "b"), (3, ""), (4, "")]
     assert x.extract(df.drop("wrapper").limit(0), found, ["page_id"]).count() == 0
 
 
+def test_many_different_pages_of_a_host(spark, monkeypatch):
+    """Levels of alignment, linear alignment and generalised wrappers leave the texts as they are."""
+    rng = random.Random(3)
+
+    def page():
+        parts = [f"<{t}>{rng.choice('abc')}{i}</{t}>" for i, t in enumerate(rng.choices(["p", "div", "section", "h2", "nav", "x-y"], k=rng.randint(0, 40)))]
+        return f"<body><div class=menu>m</div><article>{''.join(parts)}</article><footer>f</footer></body>"
+
+    rows = [(i, "http://h.x/", page()) for i in range(120)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", x.host())
+
+    monkeypatch.setattr(x, "ALIGNED", 5)
+    found = x.wrappers(df, Scratch(spark, "t"))
+    assert found.count() == 1
+    wanted = [(i, "\n".join(re.findall(r"[abc]\d+", re.sub(r"<nav>.*?</nav>", "", p)))) for i, _, p in rows]
+    assert sorted(map(tuple, x.extract(df, found, ["page_id"]).collect())) == wanted
+    for name, value in (("LONG", 8), ("PAIRS", 0)):
+        monkeypatch.setattr(x, name, value)
+    wrapper = x.infer([x.fold([(t, False, False) for t, _ in x.stream(p)]) for _, _, p in rows])
+    assert len(wrapper) <= 30
+    role = x.roles(wrapper)
+    assert [(i, x.text_of(p, role)) for i, _, p in rows] == wanted
+
+
+def test_odd_tags(spark):
+    assert x.text_of("<article><a+b>one</a+b><c(d>two</c(d></article>", x.roles(x.infer([[(t, False, False) for t, _ in x.stream("<article><a+b>one</a+b><c(d>two</c(d></article>")]]))) == "one\ntwo"
+
+
 def test_query(spark):
     got = {r["page_id"]: r for r in queries.op10_extraction(spark, DATA).collect()}
     pages = spark.read.parquet(f"{DATA}/pages.parquet").collect()

@@ -1,7 +1,7 @@
 """WARC archives: a writer through Spark's own sink, and a reader that salvages damaged files.
 
-Writing: a record is one gzip member, and the text sink writes members one after another, with an empty member
-(zero bytes when unpacked, which the format allows and readers skip) where it would write a line's end. So
+Writing: a record is one gzip member, and the text sink writes runs of members one after another, with an empty
+member (zero bytes when unpacked, which the format allows and readers skip) where it would write a line's end. So
 archives go to any file system that Spark writes to, and a lost executor's tasks are repeated and committed as
 for any other table. Payloads that several rows share are stored once; the other rows become revisit records.
 
@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 
 from heddle.llm.scratch import Scratch
 
-#: Records of an archive file, at most.
-ARCHIVE_RECORDS = 8192
+#: Bytes of a run of records from which on it ends, and runs of an archive file, at most. So a file's size is bounded
+#: by that of RUNS longest records at worst, and is some RUN * RUNS where records are short.
+RUN, RUNS = 1 << 20, 64
 DATE = "1970-01-01T00:00:00Z"
 #: A gzip member of nothing: header, an empty block, and checksum and length of zero.
 EMPTY_MEMBER = bytes.fromhex("1f8b080000000000000303000000000000000000")
@@ -180,15 +181,28 @@ def with_roles(pages: DataFrame, scratch: Scratch, page_id: str = "page_id", pay
     return rows.join(first, "sha1", "left").withColumn("refers_to", F.expr(f"if({page_id} <=> first, null, first)")).drop("first")
 
 
+def _runs(members: list[bytes]) -> pa.RecordBatch:
+    """One value of some members, which an empty member ends in the file."""
+    return pa.RecordBatch.from_arrays([pa.array([b"".join(members)], pa.binary())], names=["value"])
+
+
 def write(rows: DataFrame, path: str, page_id: str = "page_id", url: str = "url") -> None:
     """Writes rows of with_roles() as archives under a path of any file system that Spark knows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        size = 0
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                columns = [part.column(k).to_pylist() for k in range(5)]
-                yield pa.RecordBatch.from_arrays([pa.array([member(record(p, u, b, r, base64.b32encode(s).decode())) for p, u, b, s, r in zip(*columns, strict=True)], pa.binary())], names=["value"])
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                for p, u, b, s, r in zip(*(part.column(k).to_pylist() for k in range(5)), strict=True):
+                    held.append(member(record(p, u, b, r, base64.b32encode(s).decode())))
+                    size += len(held[-1])
+                    if size >= RUN:
+                        yield _runs(held)
+                        held, size = [], 0
+        if held:
+            yield _runs(held)
 
     made = rows.select(page_id, url, "payload", "sha1", "refers_to").mapInArrow(run, "value binary")
     (
@@ -196,7 +210,7 @@ def write(rows: DataFrame, path: str, page_id: str = "page_id", url: str = "url"
         .write.mode("overwrite")
         .option("encoding", "ISO-8859-1")
         .option("lineSep", EMPTY_MEMBER.decode("latin-1"))
-        .option("maxRecordsPerFile", ARCHIVE_RECORDS)
+        .option("maxRecordsPerFile", RUNS)
         .text(path)
     )
 

@@ -1,6 +1,7 @@
 import base64
 import gzip
 import hashlib
+import random
 
 import pytest
 
@@ -79,6 +80,18 @@ def test_round_trip_with_edges(spark):
     assert warc.read(spark, s.at("none")).count() == 0
 
 
+def test_archives_are_cut_by_bytes(spark, monkeypatch):
+    """Files end after so many runs, and the records of all are read."""
+    monkeypatch.setattr(warc, "RUNS", 1)
+    rows = [(i, "u", random.Random(i).randbytes(700_000).hex()) for i in range(5)] + [(9, "u", "short")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(1)
+    s = Scratch(spark, "t")
+    warc.write(warc.with_roles(df, s).repartition(1), s.at("a"))
+    found = warc.read(spark, s.at("a")).where("reason is null").collect()
+    assert sorted(r["record_id"] for r in found) == [f"<urn:page:{i}>" for i in (0, 1, 2, 3, 4, 9)]
+    assert len({r["archive"] for r in found}) >= 3
+
+
 def test_query(spark):
     d = "/root/testdata/sf0.001"
     rows = spark.read.parquet(f"{d}/pages.parquet").collect()

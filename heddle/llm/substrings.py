@@ -11,7 +11,7 @@ only where their anchor stands in two documents, and then as whole windows, by a
 no symbol's context (long runs, mostly) is its own anchor. How many rounds fit depends on the window: one for 13
 words, one more for each doubling.
 
-Plan: texts are dealt once into chunks of some CHUNK bytes by a hash of the id; that exchange is reused by the
+Plan: texts are dealt once into chunks of some CHUNK bytes by a hash of id and text; that exchange is reused by the
 three passes over the chunks.
 1. Each chunk sends its distinct anchors to buckets by name. A bucket answers with one bit for an anchor: whether
    another chunk or document has it too.
@@ -261,7 +261,7 @@ def remove(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", text: str
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     chunks = max(1, -(-total // CHUNK))
     buckets = max(1, -(-total // (16 * BUCKET)))
-    dealt = docs.select(F.pmod(F.xxhash64(doc_id), F.lit(chunks)).cast("int").alias("chunk"), F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"), F.struct(doc_id, *keep).alias("own"))
+    dealt = docs.select(F.pmod(F.xxhash64(doc_id, text), F.lit(chunks)).cast("int").alias("chunk"), F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"), F.struct(doc_id, *keep).alias("own"))
     by_chunk = dealt.groupBy("chunk")
 
     def first(key: tuple, table: pa.Table) -> pa.Table:

@@ -12,13 +12,13 @@ full sets, made again from the texts, by a search that compares every reached cl
 At a similarity of 0.85 a region of some tree holds a pair with probability 1 - (1 - 0.85^5)^24 = 1 - 8e-7, at 0.8
 with 1 - 7e-5, and the sketch passes it unless it errs by more than five standard deviations.
 
-No task holds more than UNIT sets or HELD shingles. A larger unit is confirmed in two steps. First region by region,
-in all trees, which joins most of it. Then whatever isn't in the unit's largest component by then meets the whole
+No task holds more than UNIT sets or HELD shingles. A larger unit is confirmed in steps. First each class meets those
+of one region, then those of other regions where their components are still apart. Then whatever isn't in the unit's largest component by then meets the whole
 unit, block by block, so that every pair in different components is compared: the result is that of one search.
 
 Scale: the trees are sorted by range over the whole key, so a group of near copies that holds a third of all rows
 is spread over many tasks; edges per region are a spanning forest, not pairs; classes absorb exact copies before
-anything else by an aggregation that combines on the map side; a large unit's second step costs as many blocks as
+anything else by an aggregation that combines on the map side; a large unit's last step costs as many blocks as
 the few classes outside of its largest component need. Texts are fetched by id and a hash of the text, so a third of
 all rows without an id spread like any others.
 
@@ -258,16 +258,22 @@ def _unit(first: str, region: Column, i: Column, j: Column) -> Column:
     return F.struct(F.col(first).alias("first"), region.cast("bigint").alias("region"), i.cast("int").alias("i"), j.cast("int").alias("j")).alias("unit")
 
 
-def by_region(near: DataFrame, large: DataFrame) -> DataFrame:
-    """(cls, unit): the stars of large units' regions; a star of too much weight is cut, with its centre in each part."""
-    stars = near.join(large.select(F.col("v").alias("a"), "weight"), "a")
-    size = stars.groupBy("region", "b").agg(F.sum("weight").alias("held")).withColumn("parts", _parts(F.col("held"), HELD))
+def by_region(edges: DataFrame) -> DataFrame:
+    """(cls, unit): the stars of edges (a, b, region, weight of a); one of too much weight is cut, its centre in each part."""
+    size = edges.groupBy("region", "b").agg(F.sum("weight").alias("held")).withColumn("parts", _parts(F.col("held"), HELD))
     zero = F.lit(0)
-    arms = stars.join(size, ["region", "b"]).select(F.col("a").alias("cls"), _unit("b", F.col("region"), _of("a", F.col("parts")), zero))
+    arms = edges.join(size, ["region", "b"]).select(F.col("a").alias("cls"), _unit("b", F.col("region"), _of("a", F.col("parts")), zero))
     centres = size.withColumn("i", F.explode(F.expr("sequence(0, parts - 1)"))).select(F.col("b").alias("cls"), _unit("b", F.col("region"), F.col("i"), zero))
     return arms.union(centres)
 
 
+def apart(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """The edges between different components."""
+    of_a = roots.select(F.col("v").alias("a"), F.col("root").alias("root_a"))
+    of_b = roots.select(F.col("v").alias("b"), F.col("root").alias("root_b"))
+    return edges.join(of_a, "a").join(of_b, "b").where("root_a != root_b").select(*edges.columns)
+
+
 def remaining(large: DataFrame, roots: DataFrame) -> DataFrame:
     """(cls, unit): pairs of blocks, of a large unit's classes outside of its largest component and of all its classes."""
     at = large.join(roots.select("v", F.col("root").alias("of")), "v", "left").withColumn("of", F.coalesce("of", "v"))
@@ -330,17 +336,22 @@ def link(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 80, doc_i
         brought = known.join(texts, F.expr("hash = of and least <=> id")).select("unit", "cls", "print1", "print2", "text")
         return scratch.put(brought.groupBy("unit").applyInArrow(confirm, "a bigint, b bigint"), name)
 
-    links = confirmed(members.union(by_region(near, large)) if split else members, "links")
     if split:
-        roots = scratch.put(components(links, scratch, "links_cc"), "linked")
-        links = links.union(confirmed(remaining(large, roots), "more_links"))
-        roots = components(links, scratch, "all_cc")
+        edges = scratch.put(near.join(large.select(F.col("v").alias("a"), "weight"), "a"), "edges")
+        # a text goes to one region at first, to others only where its component and theirs are still apart
+        one = edges.groupBy("a").agg(F.min(F.struct("region", "b", "weight")).alias("e")).select("a", "e.*")
+        links = confirmed(members.union(by_region(one)), "links1")
+        for name, more in (("links2", lambda roots: by_region(apart(edges, roots))), ("links3", lambda roots: remaining(large, roots))):
+            roots = scratch.put(components(links, scratch, f"of_{name}"), f"before_{name}")
+            links = links.union(confirmed(more(roots), name))
+        roots = components(links, scratch, "of_all")
     else:
+        links = confirmed(members, "links1")
         roots = links.select(F.col("a").alias("v"), F.col("b").alias("root"))
     of = classes.select("cls", "print1", "print2", "least", "copies").join(roots, F.col("cls") == F.col("v"), "left").withColumn("root", F.coalesce("root", "cls"))
     groups = of.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("copies").alias("all"))
     known = scratch.put(of.join(groups.where("all > 1"), "root").select("print1", "print2", "component_id"), "known")
-    for name in ("near", "unit_of", "sized", "links", "linked", "more_links"):
+    for name in ("near", "unit_of", "sized", "edges", "links1", "links2", "links3"):
         scratch.drop(name)
     done = rows.select("id", "n", "print1", "print2").join(known, ["print1", "print2"], "left")
     own = F.when((F.col("n") > 0) & F.col("component_id").isNotNull(), F.col("component_id")).otherwise(F.col("id"))

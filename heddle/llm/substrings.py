@@ -95,6 +95,38 @@ def recompress(h: np.ndarray, doc: np.ndarray, times: int) -> tuple[np.ndarray,
     return name, lo, hi
 
 
+def _least_inside(lo: np.ndarray, hi: np.ndarray, key: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least key of the symbols (in order of lo) within each window, and whether there is one."""
+    begin = np.searchsorted(lo, at)
+    best = np.full(len(at), U64(0xFFFFFFFFFFFFFFFF))
+    found = np.zeros(len(at), bool)
+    if not len(lo):
+        return best, found
+    if not np.any(hi[1:] < hi[:-1]):  # a window's symbols are a range: the least of two spans of a power of two
+        size = np.searchsorted(hi, at + window) - begin
+        found = size > 0
+        span, k = key, 1
+        while True:
+            here = np.flatnonzero((size >= k) & (size < 2 * k))
+            i = begin[here]
+            best[here] = np.minimum(span[i], span[i + size[here] - k])
+            if not np.any(size >= 2 * k):
+                return best, found
+            span = np.minimum(span[:-k], span[k:])
+            k *= 2
+    for j in range(window):  # rare runs; what doesn't fit a window is passed over
+        i = begin + j
+        live = i < len(lo)
+        i = np.minimum(i, len(lo) - 1)
+        live &= lo[i] < at + window
+        if not live.any():
+            break
+        live &= hi[i] < at + window
+        np.minimum(best, key[i], out=best, where=live)
+        found |= live
+    return best, found
+
+
 class Windows:
     """The windows of a chunk's documents: ``at`` (their first words), ``anchor`` and ``doc``."""
 
@@ -115,21 +147,7 @@ class Windows:
         order = np.argsort(lo, kind="stable") if np.any(np.diff(lo) < 0) else slice(None)
         lo, hi = lo[order], hi[order]
         key = mix(_joined(self.h, lo, hi + 1) ^ name[inside][order])
-        # symbols stand in order of both bounds but for rare runs; what doesn't fit a window is passed over
-        begin = np.searchsorted(lo, self.at)
-        best = np.full(len(self.at), U64(0xFFFFFFFFFFFFFFFF))
-        found = np.zeros(len(self.at), bool)
-        if len(lo):
-            for j in range(window):
-                i = begin + j
-                live = i < len(lo)
-                i = np.minimum(i, len(lo) - 1)
-                live &= lo[i] < self.at + window
-                if not live.any():
-                    break
-                live &= hi[i] < self.at + window
-                np.minimum(best, key[i], out=best, where=live)
-                found |= live
+        best, found = _least_inside(lo, hi, key, self.at, window)
         alone = ~found
         if alone.any():
             best[alone] = mix(window_hashes(self.h, window, 3)[self.at[alone]])

@@ -140,6 +140,25 @@ def test_substring_query(spark, docs):
     assert got == {(d, n, r, hashlib.sha256(t.encode()).hexdigest()) for d, n, r, t in brute.removed(docs, 13)}
 
 
+def test_least_inside():
+    """Ranges of ordered bounds, and the search where they are out of order."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for ordered in (True, False) * 20:
+        at = np.arange(rng.integers(0, 400))
+        lo = np.sort(at - rng.integers(0, 3, len(at)))
+        hi = at + rng.integers(0, 4, len(at))
+        hi = np.sort(hi) if ordered else hi
+        lo, hi = lo[lo >= 0], hi[lo >= 0]
+        key = rng.integers(0, 1 << 60, len(lo)).astype(np.uint64)
+        best, found = substrings._least_inside(lo, hi, key, at[: max(0, len(at) - 12)], 13)
+        for a in range(len(best)):
+            inside = (lo >= a) & (hi < a + 13)
+            assert found[a] == inside.any()
+            assert not inside.any() or best[a] == key[inside].min()
+
+
 # ---- near-duplicates
 
 

@@ -3,20 +3,26 @@
 A page is a stream of structural tags and text slots. Runs of equal groups are folded into one repeated group, so
 pages of one template have few different streams. Streams of a host are aligned one after another with what has been
 inferred so far: tokens that match stay, and what only one side has becomes an optional group, which gives the
-host's wrapper: a regular expression without unions, of tokens, optional and repeated groups, and slots. A slot is
-named by the tags around it; the wrapper says which slots are the article's. A page's text is what its own slots
-of these names hold.
+host's wrapper: a regular expression without unions, of tokens, optional and repeated groups, and slots. Each page is
+then matched against its host's wrapper, which gives every text of it a place there. A text that all different pages
+with this place have in it is the template's, like a byline's "share this"; what varies is the page's. A page's
+text is what stands in its article slots without the template's texts.
 
 Which slots are the article's: those in an ``article`` or ``main`` element where the wrapper has one, else all of
 the body's, in both cases but for slots inside of elements that are menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles or comments by their tag, role, class or id. A page whose host has an article slot
-but that fills none itself gets its other body slots.
+but that fills none itself gets its other body slots. A slot is named by the tags around it.
+
+Which texts are the template's: pages count as different by the texts in their article slots, so copies of an article
+show nothing, and a text needs PAGES of them and SHARE of the host's. A repeated place, such as a list's item, holds
+several texts of a page, each of which is the template's or not.
 
 Scale: pages give their folded stream. Distinct streams of a host are aligned some ALIGNED at a time, then the
 wrappers of these, level by level, so a host with a third of all pages, each different, is many small groups. A
 wrapper of more than LONG items has its runs of optional items made one repeated group of their different ones, so
 its length depends on a host's tags, not on its pages; long streams are aligned in linear time. Neither changes which
-slots there are. Wrappers are joined to pages by host; Spark broadcasts them if small and splits large hosts if not.
+slots there are. Matching follows a page's tokens through the wrapper's expression with the places it may be at, some
+few at a time. Places and texts are counted as hashes. Wrappers are joined to pages by host; Spark broadcasts them if small and splits large hosts if not.
 
 Edge cases: a null or empty page has an empty text; pages without a url, or one that names no host, form a host of
 their own; broken tags end at the next ``<`` or the page's end; repeated rows give repeated results.
@@ -31,6 +37,7 @@ from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from hashlib import blake2b
 
 import pandas as pd
 import pyarrow as pa
@@ -47,6 +54,10 @@ LONG = 512
 PAIRS, AHEAD = 1 << 18, 64
 #: The longest group that folding looks for, in tokens.
 GROUP = 12
+#: Different pages, and share of a host's, that hold a text of the template.
+PAGES, SHARE = 3, 0.1
+#: Characters of wrappers that a task keeps compiled.
+KNOWN = 1 << 22
 #: Elements whose contents aren't text, and those that are never part of an article.
 RAW = ("script", "style", "template", "noscript", "iframe", "textarea", "xmp", "svg", "math", "object", "canvas", "title")
 NEVER = frozenset("head nav header footer aside form button select menu dialog fieldset datalist label legend option".split()) | frozenset(RAW)
@@ -68,6 +79,7 @@ _HEADING = re.compile(r"h[1-6](?:\W|$)")
 #: Characters of a tag that mean something in streams and wrappers.
 _MEANT = re.compile(r"[()*?+!@>#]")
 _INNER = re.compile(r"[^\s()*?+]+")
+_PART = re.compile(r"[()]|[^\s()*?+]+|[*?+]")
 
 
 def _element(tag: str, rest: str) -> str:
@@ -255,13 +267,119 @@ def roles(wrapper: list[Item]) -> dict[str, int]:
     return {s: 2 if s in main or not main else 1 for s in body}
 
 
+class Expression:
+    """A wrapper as an automaton that gives each token of a page its place in it."""
+
+    def __init__(self, wrapper: list[Item]):
+        # at a number: the token there and None, or None and the numbers that may follow at once, preferred ones first
+        self.code: list[tuple[str | None, list[int]]] = []
+        self._next: dict[int, dict[str, list[int]]] = {}
+        parts = _PART.findall(" ".join(map(_shown, wrapper)))
+        starts: list[int] = []
+        last = 0
+        for k, part in enumerate(parts):
+            if part in "*?+":
+                end = len(self.code)
+                if part in "*+":
+                    self.code.append((None, [last, end + 1]))
+                if part in "*?":
+                    self.code[last] = (None, [last + 1, len(self.code)])
+            elif part == ")":
+                last = starts.pop()
+            else:
+                # an empty step in front, which becomes a choice if the part may be missing
+                last = len(self.code)
+                self.code.append((None, [last + 1]))
+                if part == "(":
+                    starts.append(last)
+                else:
+                    self.code.append((part, []))
+
+    def _after(self, at: int) -> dict[str, list[int]]:
+        """The places that may come next at a number, by their tokens; the end is a token ``""``."""
+        if at not in self._next:
+            found: dict[str, list[int]] = {}
+            seen, stack = set(), [at]
+            while stack:
+                i = stack.pop()
+                if i in seen:
+                    continue
+                seen.add(i)
+                if i == len(self.code):
+                    found.setdefault("", []).append(i)
+                elif self.code[i][0] is None:
+                    stack += reversed(self.code[i][1])
+                else:
+                    found.setdefault(self.code[i][0], []).append(i)
+            self._next[at] = found
+        return self._next[at]
+
+    def places(self, tokens: list[str]) -> list[int] | None:
+        """Each token's place on the preferred way through the wrapper; None if there is no way."""
+        steps: list[dict[int, int]] = []
+        now = [-1]
+        for token in [*tokens, ""]:
+            step: dict[int, int] = {}
+            for i in now:
+                for j in self._after(i + 1).get(token, ()):
+                    step.setdefault(j, i)
+            if not step:
+                return None
+            steps.append(step)
+            now = list(step)
+        out, at = [], now[0]
+        for step in reversed(steps):
+            at = step[at]
+            out.append(at)
+        return out[-2::-1] if tokens else []
+
+
+def _hash(*texts: str) -> int:
+    return int.from_bytes(blake2b("\n".join(texts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+class Template:
+    """A host's wrapper, ready for its pages: its expression, the roles of its slots and the template's texts."""
+
+    def __init__(self, wrapper: str | None, fixed: str | None = None):
+        items = [tuple(x) for x in json.loads(wrapper or "[]")]
+        self.expression, self.role, self.fixed = Expression(items), roles(items), frozenset((fixed or "").split())
+
+    def own(self, page: str) -> list[tuple[int, str]]:
+        """(place, text) of a page's article slots; the place is -1 if the page doesn't match."""
+        found = list(stream(page))
+        places = self.expression.places([t for t, _ in found]) or [-1] * len(found)
+        kept = [(self.role.get(t, 0), place, text) for (t, text), place in zip(found, places, strict=True) if text is not None]
+        level = 2 if any(r == 2 for r, _, _ in kept) else 1
+        return [(place, text) for r, place, text in kept if r >= level]
+
+    def text(self, page: str) -> str:
+        """A page's article slots without the template's texts."""
+        return "\n".join(text for place, text in self.own(page) if not self.fixed or f"{place}:{_hash(text)}" not in self.fixed)
+
+
+class Templates(dict):
+    """Templates by wrapper and texts, as many as fit into KNOWN."""
+
+    size = 0
+
+    def __missing__(self, key: tuple[str | None, str | None]) -> Template:
+        if self.size > KNOWN:
+            self.clear()
+            self.size = 0
+        self.size += len(key[0] or "") + len(key[1] or "")
+        self[key] = Template(*key)
+        return self[key]
+
+
 def host(url: str = "url") -> Column:
     """The host of a url, in lower case; empty without one."""
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
 def wrappers(pages: DataFrame, scratch: Scratch, html: str = "html") -> DataFrame:
-    """(host, wrapper) of every host of pages with a column ``host``; a wrapper is JSON of its items."""
+    """(host, wrapper, fixed) of every host of pages with a column ``host``; a wrapper is JSON of its items, fixed are
+    the places and hashes of the template's texts."""
 
     def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,14 +395,38 @@ def wrappers(pages: DataFrame, scratch: Scratch, html: str = "html") -> DataFram
         kinds = scratch.put(kinds, f"kinds{level}")
         counts = scratch.put(kinds.groupBy("host").agg(F.count("*").alias("n")), f"counts{level}")
         if counts.where("n > 1").isEmpty():
-            return kinds
+            # written, so that Spark knows its size when it is joined to pages
+            return scratch.put(kinds.join(fixed_texts(pages, kinds, scratch, html), "host", "left"), "wrappers")
         salt = F.pmod(F.xxhash64("wrapper"), F.ceil(F.col("n") / ALIGNED))
         kinds = kinds.join(counts, "host").withColumn("salt", salt).groupBy("host", "salt").applyInPandas(aligned, "host string, wrapper string")
         level += 1
 
 
+def fixed_texts(pages: DataFrame, kinds: DataFrame, scratch: Scratch, html: str = "html") -> DataFrame:
+    """(host, fixed) of the hosts that have texts of the template, by their wrappers."""
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Templates()
+        kind = pa.list_(pa.struct([("place", pa.int32()), ("text", pa.int64())]))
+        for batch in batches:
+            hashes, slots = [], []
+            for wrapper, page in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                own = known[wrapper, None].own(page or "")
+                hashes.append(_hash(*(text for _, text in own)))
+                slots.append([{"place": p, "text": h} for p, h in sorted({(p, _hash(text)) for p, text in own})])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.int64()), pa.array(slots, kind)], names=["host", "page", "slots"])
+
+    found = pages.join(kinds, "host").select("host", "wrapper", html).mapInArrow(placed, "host string, page bigint, slots array<struct<place int, text bigint>>")
+    different = scratch.put(found.dropDuplicates(["host", "page"]), "different")
+    hosts = different.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= PAGES)
+    reached = different.select("host", F.explode(F.array_distinct("slots.place")).alias("place")).groupBy("host", "place").agg(F.count("*").alias("reached"))
+    held = different.select("host", F.explode("slots").alias("s")).groupBy("host", "s.place", "s.text").agg(F.count("*").alias("n")).where(F.col("n") >= PAGES)
+    fixed = held.join(reached, ["host", "place"]).join(hosts, "host").where((F.col("n") == F.col("reached")) & (F.col("n") >= F.col("pages") * SHARE) & (F.col("place") >= 0))
+    return scratch.put(fixed.groupBy("host").agg(F.concat_ws(" ", F.sort_array(F.collect_set(F.concat_ws(":", "place", "text")))).alias("fixed")), "fixed")
+
+
 def text_of(page: str, role: dict[str, int]) -> str:
-    """A page's text by the roles of its host's slots."""
+    """A page's text by the roles of its host's slots alone."""
     found = [(role.get(t, 0), text) for t, text in stream(page) if text is not None]
     level = 2 if any(r == 2 for r, _ in found) else 1
     return "\n".join(text for r, text in found if r >= level)
@@ -294,18 +436,13 @@ def extract(pages: DataFrame, found: DataFrame, keys: list[str], html: str = "ht
     """keys and ``text`` of every page, by the wrappers of the hosts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, dict[str, int]] = {}
+        known = Templates()
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                texts = []
-                for page, wrapper in zip(part.column(len(keys)).to_pylist(), part.column(len(keys) + 1).to_pylist(), strict=True):
-                    if wrapper not in known:
-                        if len(known) > 1000:
-                            known.clear()
-                        known[wrapper] = roles([tuple(x) for x in json.loads(wrapper or "[]")])
-                    texts.append(text_of(page or "", known[wrapper]))
+                page, wrapper, fixed = (part.column(len(keys) + k).to_pylist() for k in range(3))
+                texts = [known[w, x].text(p or "") for p, w, x in zip(page, wrapper, fixed, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keys))), pa.array(texts, pa.string())], names=[*keys, "text"])
 
     own = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keys)
-    return pages.join(found, "host", "left").select(*keys, html, "wrapper").mapInArrow(run, f"{own}, text string")
+    return pages.join(found, "host", "left").select(*keys, html, "wrapper", "fixed").mapInArrow(run, f"{own}, text string")

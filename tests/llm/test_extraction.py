@@ -93,6 +93,29 @@ def test_many_different_pages_of_a_host(spark, monkeypatch):
     assert [(i, x.text_of(p, role)) for i, _, p in rows] == wanted
 
 
+def test_places():
+    e = x.Expression([("a", False, False), ("(b c?)", True, True), ("b", True, False), ("d", False, True)])
+    tokens = lambda s: (at := e.places(s.split())) and [e.code[i][0] for i in at]
+    for s in ("a d", "a b d", "a b c b b c d d d"):
+        assert tokens(s) == s.split()
+    assert tokens("a c d") is None and tokens("a") is None and x.Expression([]).places([]) == []
+    p = e.places("a b c b c d".split())
+    assert p[1] == p[3] and p[2] == p[4]
+
+
+def test_neighbours_tell_the_template_from_the_text(spark):
+    """A text that stands in a place of all different pages of a host is the template's, wherever its tags are."""
+    page = lambda i: f"<div><p>Share this story</p></div><article><h1>Title {i}</h1><p>Written for you</p><p>text {i}</p></article>"
+    menu = lambda i: f"<ul><li>Start</li><li>Contact</li></ul><div><p>words {i}</p></div>"
+    rows = [(i, "http://many.x", page(i)) for i in range(4)] + [(10, "http://one.x", page(0)), (11, "http://copies.x", page(0))]
+    rows += [(12 + i, "http://copies.x", f"<nav>{i}</nav>" + page(0)) for i in range(4)] + [(20 + i, "http://menu.x", menu(i)) for i in range(4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", x.host())
+    got = {r["page_id"]: r["text"] for r in x.extract(df, x.wrappers(df, Scratch(spark, "t")), ["page_id"]).collect()}
+    assert [got[i] for i in range(4)] == [f"Title {i}\ntext {i}" for i in range(4)]
+    assert {got[i] for i in range(10, 16)} == {"Title 0\nWritten for you\ntext 0"}
+    assert [got[20 + i] for i in range(4)] == [f"words {i}" for i in range(4)]
+
+
 def test_odd_tags(spark):
     assert x.text_of("<article><a+b>one</a+b><c(d>two</c(d></article>", x.roles(x.infer([[(t, False, False) for t, _ in x.stream("<article><a+b>one</a+b><c(d>two</c(d></article>")]]))) == "one\ntwo"
 

@@ -2,15 +2,15 @@
 
 One pass over the texts counts words, symbols and repetitions and hashes normalised lines (ASCII capitals as small
 letters, white space and its amount ignored). A line is above the limit on a host if the distinct documents that
-hold it number at least ``LINE_DOCS`` and ``LINE_SHARE`` of the host's documents. Such lines count as removed;
+hold it number at least ``LINE_DOCS`` and ``LINE_SHARE`` of the host's distinct documents. Such lines count as removed;
 a document of which less than ``KEPT_SHARE`` of its words is left is depleted and rejected.
 
-Copies aren't boilerplate: documents count as distinct by a sketch of their words (the least hash among them),
-which copies, near ones too, nearly all share. So a passage spread by copying one document a thousand times is
-left to deduplication, while a line standing in different documents is seen.
+Copies aren't boilerplate: documents are distinct if their words in order are (ASCII capitals as small letters, white
+space ignored), by a 64-bit hash. So a passage spread by copying one document a thousand times is left to
+deduplication, while a line standing in different documents is seen. Near copies are different documents.
 
 Scale: what leaves the texts is a few numbers and line hashes a document. Counting pre-aggregates by (host, line,
-sketch) before its shuffle; lines above the limit are written as a table and joined back between plain exchanges,
+digest) before its shuffle; lines above the limit are written as a table and joined back between plain exchanges,
 which Spark splits where one line is very common.
 
 Edge cases: a null text has no words and is rejected by the base rules like any under 20 words; a null host is a
@@ -67,7 +67,7 @@ def covered(keys: np.ndarray, fits: np.ndarray, k: int) -> np.ndarray:
 
 
 def measure_block(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray | list[np.ndarray]]:
-    """The counts of each document, its sketch, and its distinct lines' hashes with their words."""
+    """The counts of each document, its digest, and its distinct lines' hashes with their words."""
     n = len(offsets) - 1
     words = Words(data, offsets)
     docs = words.docs()
@@ -99,7 +99,12 @@ def measure_block(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray
     inverse = np.cumprod(np.full(len(small) + 1, U64(pow(0xD1342543DE82EF95, -1, 1 << 64))))
     total = np.zeros(len(small) + 1, U64)
     np.cumsum(small * powers[: len(small)], out=total[1:])
-    normal = mix((total[last] - total[first]) * inverse[first] + (last - first).astype(U64) * _ODD)
+
+    def of_runs(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """A hash of each run of words, from first to before last."""
+        return mix((total[last] - total[first]) * inverse[first] + (last - first).astype(U64) * _ODD)
+
+    normal = of_runs(first, last)
     # a line that a document repeats is one line, with the words of all its places
     key = mix(normal ^ (line_doc.astype(U64) * _ODD))
     _, once, back = np.unique(key, return_index=True, return_inverse=True)
@@ -107,26 +112,22 @@ def measure_block(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray
     order = np.lexsort((once, line_doc[once]))
     out["lines"], out["line_words"] = normal[once][order].view(np.int64), held[order].astype(np.int32)
     out["line_offsets"] = np.searchsorted(line_doc[once][order], np.arange(n + 1)).astype(np.int32)
-    sketch = np.zeros(n, U64)
-    some = words.counts() > 0
-    if some.any():
-        sketch[some] = np.minimum.reduceat(mix(small ^ U64(0x5BD1E995)), words.first[:-1][some])
-    out["sketch"] = sketch.view(np.int64)
+    out["digest"] = of_runs(words.first[:-1], words.first[1:]).view(np.int64)
     return out
 
 
 def measure(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """keys with the counts, sketch, lines and line_words of every row."""
+    """keys with the counts, digest, lines and line_words of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in blocks(batch.column(len(keys))):
                 m = measure_block(data, offsets)
                 lists = [pa.ListArray.from_arrays(pa.array(m["line_offsets"]), pa.array(m[c])) for c in ("lines", "line_words")]
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(len(keys))), *(pa.array(m[c], pa.int64()) for c in [*MEASURES, "sketch"]), *lists], names=[*keys, *MEASURES, "sketch", "lines", "line_words"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(len(keys))), *(pa.array(m[c], pa.int64()) for c in [*MEASURES, "digest"]), *lists], names=[*keys, *MEASURES, "digest", "lines", "line_words"])
 
     own = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keys)
-    made = ", ".join(f"{c} bigint" for c in [*MEASURES, "sketch"])
+    made = ", ".join(f"{c} bigint" for c in [*MEASURES, "digest"])
     return docs.select(*keys, text).mapInArrow(run, f"{own}, {made}, lines array<bigint>, line_words array<int>")
 
 
@@ -134,9 +135,9 @@ def assess(docs: DataFrame, scratch: Scratch, keys: list[str], host: str = "sour
     """keys, host, the counts, ``removed_words``, ``base_failed`` and ``kept`` of every row."""
     keys = [*keys, *([] if host in keys else [host])]
     measured = scratch.put(measure(docs, keys, text).withColumn("row", F.monotonically_increasing_id()), "measured")
-    lines = measured.select(F.col(host).alias("host"), "row", "sketch", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select("host", "row", "sketch", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))
-    hosts = measured.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("docs"))
-    counts = lines.groupBy("host", "line", "sketch").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= LINE_DOCS)
+    lines = measured.select(F.col(host).alias("host"), "row", "digest", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select("host", "row", "digest", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))
+    hosts = measured.select(F.col(host).alias("host"), "digest").distinct().groupBy("host").agg(F.count("*").alias("docs"))
+    counts = lines.groupBy("host", "line", "digest").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= LINE_DOCS)
     above = counts.alias("c").join(hosts.alias("h"), F.expr("c.host <=> h.host")).where(F.col("n") >= F.col("docs") * LINE_SHARE).select("c.host", "line")
     above = scratch.put(above, "above")
     hits = lines.alias("l").join(above.alias("a"), F.expr("l.line = a.line and l.host <=> a.host")).select("row", "words")
@@ -144,7 +145,7 @@ def assess(docs: DataFrame, scratch: Scratch, keys: list[str], host: str = "sour
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     left = F.col("n_words") - F.col("removed_words")
     return (
-        measured.drop("lines", "line_words", "sketch")
+        measured.drop("lines", "line_words", "digest")
         .join(removed, "row", "left")
         .withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
         .withColumn("base_failed", base)

@@ -90,6 +90,17 @@ def test_line_limits(spark):
     assert quality.assess(df.limit(0), Scratch(spark, "t"), ["doc_id"]).count() == 0
 
 
+def test_line_limits_count_distinct_documents(spark):
+    """Documents of the same words in another order are distinct; copies count once in the share as well."""
+    rng = random.Random(4)
+    w = [f"w{i}" for i in range(30)]
+    rows = [(i, "common line here\n" + " ".join(rng.sample(w, 30)), "h") for i in range(25)]
+    rows += [(1000 + i, " ".join(w).upper() if i % 2 else "  ".join(w), "h") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["removed_words"] for r in quality.assess(df, Scratch(spark, "t"), ["doc_id"]).collect()}
+    assert [got[i] for i in range(25)] == [3] * 25 and not any(got[i] for i in got if i >= 1000)
+
+
 def test_quality_query(spark, docs):
     for r in queries.op6_quality(spark, DATA).collect():
         want = brute.quality(dict(docs)[r["doc_id"]])

@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a frame, which is written and reread as the next stage's docs.
 All but the last return the columns of ``documents``. What a stage decides takes effect: documents that the rules
-reject are gone, one document of each near-duplicate group stays, later copies of passages are cut out of the
+reject are gone and lines that many documents of a source repeat are cut out, one document of each near-duplicate group stays, later copies of passages are cut out of the
 texts, a source's documents are repeated or left out by the mix, and the last stage encodes what is left.
 
 Texts that a stage leaves without words are dropped by the substring stage. ``n_chars`` follows the text. The mix
@@ -38,11 +38,10 @@ def _begin(spark: SparkSession, stage: str) -> Scratch:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither the base rules nor the line frequencies reject; equal texts of an id share a verdict."""
-    keyed = docs.select(*COLUMNS, F.xxhash64("text").alias("hash"))
-    rated = quality.assess(keyed, _begin(spark, "quality"), ["doc_id", "hash"])
-    kept = rated.where("kept").select(F.col("doc_id").alias("id"), F.col("hash").alias("same")).distinct()
-    return keyed.join(kept, F.expr("doc_id <=> id and hash = same"), "left_semi").select(*COLUMNS)
+    """Documents that neither the base rules nor the line frequencies reject, without the lines above the limits."""
+    rated = quality.assess(docs, _begin(spark, "quality"), ["doc_id", "lang", "source", "n_chars"])
+    size = F.when(F.col("removed_words") > 0, F.char_length("kept_text").cast("bigint")).otherwise(F.col("n_chars"))
+    return rated.where("kept").select("doc_id", F.col("kept_text").alias("text"), "lang", "source", size.alias("n_chars"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,17 +1,18 @@
 """Quality rules: per-document counts, and lines that many documents of a host repeat.
 
-One pass over the texts counts words, symbols and repetitions and hashes normalised lines (ASCII capitals as small
+A pass over the texts counts words, symbols and repetitions and hashes normalised lines (ASCII capitals as small
 letters, white space and its amount ignored). A line is above the limit on a host if the distinct documents that
-hold it number at least ``LINE_DOCS`` and ``LINE_SHARE`` of the host's distinct documents. Such lines count as removed;
-a document of which less than ``KEPT_SHARE`` of its words is left is depleted and rejected.
+hold it number at least ``LINE_DOCS`` and ``LINE_SHARE`` of the host's distinct documents. A second pass
+removes such lines; a document of which less than ``KEPT_SHARE`` of its words is left is depleted and rejected.
 
 Copies aren't boilerplate: documents are distinct if their words in order are (ASCII capitals as small letters, white
 space ignored), by a 64-bit hash. So a passage spread by copying one document a thousand times is left to
 deduplication, while a line standing in different documents is seen. Near copies are different documents.
 
-Scale: what leaves the texts is a few numbers and line hashes a document. Counting pre-aggregates by (host, line,
-digest) before its shuffle; lines above the limit are written as a table and joined back between plain exchanges,
-which Spark splits where one line is very common.
+Scale: what leaves the first pass is a few numbers and line hashes a document. Counting pre-aggregates by (host, line,
+digest) before its shuffle. A line above the limit stands in 1 % of the host's documents, so a host has at most 100
+times as many such lines as its documents have on average; its list is joined to the documents for the second pass.
+Spark broadcasts the lists if they are small and splits large hosts if not.
 
 Edge cases: a null text has no words and is rejected by the base rules like any under 20 words; a null host is a
 host; rows are independent otherwise, so repeated ids are kept apart; an empty table gives an empty result.
@@ -67,7 +68,7 @@ def covered(keys: np.ndarray, fits: np.ndarray, k: int) -> np.ndarray:
 
 
 def measure_block(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray | list[np.ndarray]]:
-    """The counts of each document, its digest, and its distinct lines' hashes with their words."""
+    """The counts of each document, its digest, its distinct lines' hashes, and all its lines that have words."""
     n = len(offsets) - 1
     words = Words(data, offsets)
     docs = words.docs()
@@ -87,10 +88,11 @@ def measure_block(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray
     start = np.concatenate((offsets[:-1], feeds + 1))
     order = np.lexsort((start, line_doc))
     start, line_doc = start[order], line_doc[order]
+    number = np.arange(len(line_doc)) - np.searchsorted(line_doc, line_doc)
     end = np.minimum(np.append(feeds, len(data))[np.searchsorted(feeds, start)], offsets[line_doc + 1])
     first, last = np.searchsorted(words.start, start), np.searchsorted(words.start, end)
     full = last > first
-    start, end, first, last, line_doc = start[full], end[full], first[full], last[full], line_doc[full]
+    start, end, first, last, line_doc, number = start[full], end[full], first[full], last[full], line_doc[full], number[full]
     exact = mix(range_hashes(data, start, end) ^ (line_doc.astype(U64) * _ODD))
     _, once = np.unique(exact, return_index=True)
     out["n_dup_lines"] = np.bincount(line_doc, minlength=n) - np.bincount(line_doc[once], minlength=n)
@@ -105,50 +107,77 @@ def measure_block(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray
         return mix((total[last] - total[first]) * inverse[first] + (last - first).astype(U64) * _ODD)
 
     normal = of_runs(first, last)
-    # a line that a document repeats is one line, with the words of all its places
-    key = mix(normal ^ (line_doc.astype(U64) * _ODD))
-    _, once, back = np.unique(key, return_index=True, return_inverse=True)
-    held = np.bincount(back, last - first, minlength=len(once)).astype(np.int64) if len(once) else np.zeros(0, np.int64)
+    # a line that a document repeats is one line
+    _, once = np.unique(mix(normal ^ (line_doc.astype(U64) * _ODD)), return_index=True)
     order = np.lexsort((once, line_doc[once]))
-    out["lines"], out["line_words"] = normal[once][order].view(np.int64), held[order].astype(np.int32)
+    out["lines"] = normal[once][order].view(np.int64)
     out["line_offsets"] = np.searchsorted(line_doc[once][order], np.arange(n + 1)).astype(np.int32)
+    out["line_doc"], out["line_number"], out["line_hash"], out["line_words"] = line_doc, number, normal, last - first
     out["digest"] = of_runs(words.first[:-1], words.first[1:]).view(np.int64)
     return out
 
 
 def measure(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """keys with the counts, digest, lines and line_words of every row."""
+    """keys with the counts, digest and lines of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in blocks(batch.column(len(keys))):
                 m = measure_block(data, offsets)
-                lists = [pa.ListArray.from_arrays(pa.array(m["line_offsets"]), pa.array(m[c])) for c in ("lines", "line_words")]
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(len(keys))), *(pa.array(m[c], pa.int64()) for c in [*MEASURES, "digest"]), *lists], names=[*keys, *MEASURES, "digest", "lines", "line_words"])
+                lines = pa.ListArray.from_arrays(pa.array(m["line_offsets"]), pa.array(m["lines"]))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(len(keys))), *(pa.array(m[c], pa.int64()) for c in [*MEASURES, "digest"]), lines], names=[*keys, *MEASURES, "digest", "lines"])
 
     own = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keys)
     made = ", ".join(f"{c} bigint" for c in [*MEASURES, "digest"])
-    return docs.select(*keys, text).mapInArrow(run, f"{own}, {made}, lines array<bigint>, line_words array<int>")
+    return docs.select(*keys, text).mapInArrow(run, f"{own}, {made}, lines array<bigint>")
+
+
+def _without(texts: pa.Array, doc: np.ndarray, number: np.ndarray) -> pa.Array:
+    """Texts without the lines of these numbers."""
+    if not len(doc):
+        return texts
+    out = texts.cast(pa.binary()).to_pylist()
+    edges = np.append(np.flatnonzero(np.diff(doc, prepend=-1)), len(doc))
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        gone = set(number[a:b].tolist())
+        out[doc[a]] = b"\n".join(x for k, x in enumerate(out[doc[a]].split(b"\n")) if k not in gone)
+    return pa.array(out, pa.binary()).view(pa.string())
+
+
+def judge(docs: DataFrame, above: DataFrame, keys: list[str], host: str = "source", text: str = "text") -> DataFrame:
+    """keys with the counts, ``removed_words`` and ``kept_text`` of every row; above has (_host, _above), the hashes of
+    each host's lines above the limit."""
+    k = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, offsets in blocks(batch.column(k)):
+                m = measure_block(data, offsets)
+                lists = batch.column(k + 1).slice(i, j - i)
+                of = np.repeat(np.arange(j - i), np.asarray(lists.value_lengths().fill_null(0)))
+                bad = mix(np.asarray(lists.flatten(), np.int64).view(U64) ^ (of.astype(U64) * _ODD))
+                doc = m["line_doc"]
+                hit = np.isin(mix(m["line_hash"] ^ (doc.astype(U64) * _ODD)), bad)
+                removed = np.bincount(doc[hit], m["line_words"][hit], j - i).astype(np.int64)
+                kept = _without(batch.column(k).slice(i, j - i), doc[hit], m["line_number"][hit])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in range(k)), *(pa.array(m[c], pa.int64()) for c in MEASURES), pa.array(removed), kept], names=[*keys, *MEASURES, "removed_words", "kept_text"])
+
+    own = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keys)
+    made = ", ".join(f"{c} bigint" for c in [*MEASURES, "removed_words"])
+    joined = docs.select(*keys, F.col(text).alias("_text"), F.col(host).alias("_of")).join(above, F.expr("_of <=> _host"), "left")
+    return joined.select(*keys, "_text", "_above").mapInArrow(run, f"{own}, {made}, kept_text string")
 
 
 def assess(docs: DataFrame, scratch: Scratch, keys: list[str], host: str = "source", text: str = "text") -> DataFrame:
-    """keys, host, the counts, ``removed_words``, ``base_failed`` and ``kept`` of every row."""
+    """keys, host, the counts, ``removed_words``, ``kept_text`` (without the lines above the limit), ``base_failed`` and
+    ``kept`` of every row."""
     keys = [*keys, *([] if host in keys else [host])]
-    measured = scratch.put(measure(docs, keys, text).withColumn("row", F.monotonically_increasing_id()), "measured")
-    lines = measured.select(F.col(host).alias("host"), "row", "digest", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select("host", "row", "digest", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))
-    hosts = measured.select(F.col(host).alias("host"), "digest").distinct().groupBy("host").agg(F.count("*").alias("docs"))
-    counts = lines.groupBy("host", "line", "digest").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= LINE_DOCS)
-    above = counts.alias("c").join(hosts.alias("h"), F.expr("c.host <=> h.host")).where(F.col("n") >= F.col("docs") * LINE_SHARE).select("c.host", "line")
-    above = scratch.put(above, "above")
-    hits = lines.alias("l").join(above.alias("a"), F.expr("l.line = a.line and l.host <=> a.host")).select("row", "words")
-    removed = hits.groupBy("row").agg(F.sum("words").alias("removed_words"))
+    measured = scratch.put(measure(docs, [host], text).select(F.col(host).alias("host"), "digest", "lines"), "measured")
+    hosts = measured.select("host", "digest").distinct().groupBy("host").agg(F.count("*").alias("docs"))
+    lines = measured.select("host", "digest", F.explode("lines").alias("line")).distinct()
+    counts = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= LINE_DOCS)
+    above = counts.alias("c").join(hosts.alias("h"), F.expr("c.host <=> h.host")).where(F.col("n") >= F.col("docs") * LINE_SHARE).select(F.col("c.host").alias("_host"), "line")
+    above = scratch.put(above.groupBy("_host").agg(F.collect_list("line").alias("_above")), "above")
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     left = F.col("n_words") - F.col("removed_words")
-    return (
-        measured.drop("lines", "line_words", "digest")
-        .join(removed, "row", "left")
-        .withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
-        .withColumn("base_failed", base)
-        .withColumn("kept", ~base & (left >= F.col("n_words") * KEPT_SHARE))
-        .drop("row")
-    )
+    return judge(docs, above, keys, host, text).withColumn("base_failed", base).withColumn("kept", ~base & (left >= F.col("n_words") * KEPT_SHARE))

@@ -59,10 +59,11 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's counts and the verdict on it; a document's host is its source."""
+    """Every document's counts, the verdict on it and what its text is without its host's repeated lines; a document's
+    host is its source."""
     docs = table(attach(spark), sf_dir, "documents")
     rated = quality.assess(docs, Scratch(spark, "op6"), ["doc_id"])
-    return rated.select("doc_id", *quality.MEASURES, "base_failed", "kept", "removed_words")
+    return rated.select("doc_id", *quality.MEASURES, "base_failed", "kept", "removed_words", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

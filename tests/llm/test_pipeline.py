@@ -43,6 +43,14 @@ def test_rules(stages):
     assert len(kept) > 0.7 * stages[0].count()
 
 
+def test_repeated_lines_are_cut_out(spark):
+    rng = random.Random(6)
+    bodies = [" ".join(rng.choices([f"w{i}" for i in range(500)], k=40)) for _ in range(30)]
+    docs = spark.createDataFrame([(i, f"Read more here\n{b}", "en", "a", len(b) + 15) for i, b in enumerate(bodies)], SCHEMA)
+    got = sorted((r["doc_id"], r["text"], r["n_chars"]) for r in corpus_pipeline.quality_rules(spark, docs, DATA).collect())
+    assert got == [(i, b, len(b)) for i, b in enumerate(bodies)]
+
+
 def test_one_of_each_group(stages):
     rows = [(r["doc_id"], r["text"]) for r in stages[1].collect()]
     assert sorted(r["doc_id"] for r in stages[2].collect()) == sorted(d for d, _, _, kept in brute.near(rows, 5, 80) if kept)

@@ -101,6 +101,20 @@ def test_line_limits_count_distinct_documents(spark):
     assert [got[i] for i in range(25)] == [3] * 25 and not any(got[i] for i in got if i >= 1000)
 
 
+def test_lines_above_the_limit_are_removed(spark):
+    rng = random.Random(5)
+    w = [f"é{i}" for i in range(3000)]
+    forms = ["{0}\n\nCommon  LINE here\n{1}", "common line here\n{0}\n{1}\n\tcommon line here ", "{0}\n{1}\n", "common line here\n\n{0} common line here\ncommon line here\n"]
+    rows = [(i, forms[i % 4].format(*(" ".join(rng.sample(w, 15)) for _ in "ab")), ("h", None)[i % 8 > 3]) for i in range(240)]
+    rows += [(300, rows[0][1], "other"), (301, None, "h"), (302, "", "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in quality.assess(df, Scratch(spark, "t"), ["doc_id"]).collect()}
+    for i, text, source in rows:
+        bad = lambda x: source != "other" and x.lower().split() == ["common", "line", "here"]
+        assert got[i]["kept_text"] == (None if text is None else "\n".join(x for x in text.split("\n") if not bad(x)))
+        assert got[i]["removed_words"] == (0 if text is None else 3 * sum(map(bad, text.split("\n"))))
+
+
 def test_quality_query(spark, docs):
     for r in queries.op6_quality(spark, DATA).collect():
         want = brute.quality(dict(docs)[r["doc_id"]])

@@ -2,8 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a frame, which is written and reread as the next stage's docs.
 All but the last return the columns of ``documents``. What a stage decides takes effect: documents that the rules
-reject are gone and lines that many documents of a source repeat are cut out, one document of each near-duplicate group stays, later copies of passages are cut out of the
-texts, a source's documents are repeated or left out by the mix, and the last stage encodes what is left.
+reject are gone and lines that many documents of a source repeat are cut out, one document of each near-duplicate group
+stays, later copies of passages are cut out of the texts, a source's documents are repeated or left out and put in order
+by the mix, and the last stage encodes what is left.
 
 Texts that a stage leaves without words are dropped by the substring stage. ``n_chars`` follows the text. The mix
 takes a document once for each whole time that its words were taken, and once more for a rest of at least half.
@@ -25,6 +26,8 @@ from heddle.session import attach, table
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Words of a window that is cut out where an earlier document has it.
 WINDOW = 40
+#: Bytes of text in a part of the mixed documents, about.
+PART = 64 << 20
 
 _open: list[Scratch] = []
 
@@ -45,11 +48,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of five-word shingle similarity of at least 0.8: the one with the smallest id, once."""
+    """One document of each group of five-word shingle similarity of at least 0.8: the one with the smallest id. Rows
+    of equal id and text are one document; a group without ids keeps one of its rows."""
     found = neardup.link(docs.select("doc_id", "text"), _begin(spark, "neardup"), 5, 80)
-    kept = found.where("kept").select(F.col("doc_id").alias("id")).distinct()
-    once = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("source", "lang"))
-    return docs.join(kept, F.expr("doc_id <=> id"), "left_semi").withColumn("place", once).where("place = 1").select(*COLUMNS)
+    kept = found.where("first").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("of")).distinct()
+    hashed = docs.select(*COLUMNS, F.xxhash64("text").alias("hash"))
+    left = hashed.join(kept, F.expr("hash = of and doc_id <=> id"), "left_semi")
+    one = F.min(F.struct("source", "lang", "n_chars", "text")).alias("one")  # combined before its shuffle
+    return left.groupBy("doc_id", "hash").agg(one).select("doc_id", "one.*").select(*COLUMNS)
 
 
 def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,13 +69,17 @@ def repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them, in the order of the schedule's slots."""
     scratch = _begin(spark, "mix")
     sized = docs.select(*COLUMNS, mixing.sizes().alias("size"))
     keyed = scratch.put(sized.withColumn("key", F.monotonically_increasing_id()), "docs")
+    mixed = mixing.mix(keyed.select("key", "doc_id", "source", "size"), ["doc_id"], scratch)
     times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.greatest("size", F.lit(1)))).otherwise(0).cast("int")
-    mixed = mixing.mix(keyed.select("key", "source", "size"), ["key"], scratch).select("key", times.alias("times")).where("times > 0")
-    return keyed.join(mixed, "key").withColumn("again", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
+    # a copy stands where the slots take the document's first block, or else where they first take words of it
+    each = mixed.withColumn("times", times).where("times > 0").select("key", "slots", "first_slot", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("copy"))
+    placed = each.select("key", F.coalesce(F.get("slots", F.col("copy")), "first_slot").alias("slot"), "copy")
+    parts = max(1, -(-keyed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // PART))
+    return keyed.join(placed, "key").repartitionByRange(parts, "slot", "key", "copy").sortWithinPartitions("slot", "key", "copy").select(*COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,8 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +28,14 @@ from pyspark.sql import types as T
 
 from heddle.llm.textkit import blocks
 
-#: Entries of each generation of a worker's two caches; memory is bounded by twice that.
-CACHED = 200_000
+#: Bytes, about, of each generation of a worker's two caches; memory is bounded by four times that.
+CACHED = 8 << 20
 #: Longer pre-tokens and chunks (characters) aren't kept, and have a queue of their own.
 CACHED_CHARS = 48
-#: Bytes of text whose new pre-tokens share a queue.
-SHARED = 8 << 20
+#: Bytes of text whose new pre-tokens share a queue, and bytes of pre-tokens in it at most.
+SHARED, QUEUED = 4 << 20, 1 << 20
+#: Characters of a longer text, and ids, that are worked on at once.
+SEGMENT = 1 << 18
 #: A fixed value: the pattern (that of the byte-level vocabularies) for which texts may be cut at single spaces first.
 SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -63,12 +66,11 @@ class Codec:
         #: The rank of two joined symbols, by the left one's rank << 24 | the right one's.
         self.joined = {ranks[t[:i]] << 24 | ranks[t[i:]]: rank for t, rank in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
         self.left_right = np.fromiter(sorted(self.joined), np.int64, len(self.joined))
-        self.joined_rank = np.fromiter(map(self.joined.__getitem__, self.left_right.tolist()), np.int64, len(self.joined))
-        self.byte_rank = np.array(self.single, np.int64)
+        self.joined_rank = np.fromiter(map(self.joined.__getitem__, self.left_right.tolist()), np.int32, len(self.joined))
+        self.byte_rank = np.array(self.single, np.int32)
         # The queue's bitmap: which ranks have a bucket, which words of that have a bit, and which words of those.
         self.low, self.mid = [0] * ((size >> 6) + 1), [0] * ((size >> 12) + 1)
-        self.packed = _Cache(self._piece)
-        self.chunks = _Cache(self._chunk)
+        self.known_pieces, self.known_chunks = _Known(), _Known()
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -127,10 +129,10 @@ class Codec:
     def _ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The ranks of joined symbols, -1 where the vocabulary hasn't got them."""
         if not len(self.left_right):
-            return np.full(len(left), -1)
-        key = left << 24 | right
+            return np.full(len(left), -1, np.int32)
+        key = left.astype(np.int64) << 24 | right
         at = np.minimum(np.searchsorted(self.left_right, key), len(self.left_right) - 1)
-        return np.where(self.left_right[at] == key, self.joined_rank[at], -1)
+        return np.where(self.left_right[at] == key, self.joined_rank[at], np.int32(-1))
 
     def merge_all(self, pieces: list[bytes]) -> list[bytes]:
         """Packed ids of many short pre-tokens, merged through one queue."""
@@ -143,8 +145,8 @@ class Codec:
         last[ends - 1] = True
         first = np.zeros(total, bool)
         first[ends - n] = True
-        after, before = np.arange(1, total + 1), np.arange(-1, total - 1)
-        pair = np.full(total, -1)
+        after, before = np.arange(1, total + 1, dtype=np.int32), np.arange(-1, total - 1, dtype=np.int32)
+        pair = np.full(total, -1, np.int32)
         at = np.flatnonzero(~last)
         pair[at] = self._ranks_of(symbol[at], symbol[at + 1])
         buckets: dict[int, list[np.ndarray]] = {}
@@ -203,49 +205,78 @@ class Codec:
         cut = (np.cumsum(np.bincount(owner[kept], minlength=len(pieces))) * 4).tolist()
         return [packed[a:b] for a, b in zip([0, *cut], cut)]
 
-    def learn(self, texts: list[str]) -> None:
-        """Encodes what the texts' pre-tokens need and the caches lack, all at once."""
-        new: set[str] = set()
+    def _packed(self, pieces: Counter[str]) -> dict[str, bytes]:
+        """The packed ids of pre-tokens; those seen more than once are kept for later blocks."""
+        found = self.known_pieces.of(pieces)
+        new = [p for p in pieces if p not in found]
+        short = [p for p in new if len(p) <= CACHED_CHARS]
+        size = i = 0
+        for j, piece in enumerate(short, 1):
+            size += len(piece)
+            if size >= QUEUED or j == len(short):
+                found.update(zip(short[i:j], self.merge_all([p.encode() for p in short[i:j]]), strict=True))
+                size, i = 0, j
+        for p in new:
+            if len(p) > CACHED_CHARS:
+                found[p] = np.array(self.merge(p.encode()), "<u4").tobytes()
+            elif pieces[p] > 1:
+                self.known_pieces.put(p, found[p])
+        return found
+
+    def _block(self, texts: list[str]) -> list[bytes]:
+        """Ids of some texts, each distinct chunk and pre-token of which is encoded once."""
+        if not self.spaced:
+            cut = [self.pieces(t) for t in texts]
+            found = self._packed(Counter(p for pieces in cut for p in pieces))
+            return [b"".join(map(found.__getitem__, pieces)) for pieces in cut]
+        # No match of the pattern crosses a single space between two characters that aren't white space, so the
+        # chunks between such spaces are encoded by themselves; any other text is matched as a whole.
+        chunks: Counter[str] = Counter()
         for text in texts:
-            new.update(text.split(" ") if self.spaced else self.pieces(text))
-        if self.spaced:
-            new = {p for c in new.difference(self.chunks, self.chunks.old) if c for p in self.pieces(" " + c)}
-        new = sorted(p for p in new.difference(self.packed, self.packed.old) if len(p) <= CACHED_CHARS)
-        for i in range(0, len(new), CACHED // 2):
-            part = new[i : i + CACHED // 2]
-            for piece, packed in zip(part, self.merge_all([p.encode() for p in part]), strict=True):
-                self.packed.put(piece, packed)
-
-    def _piece(self, piece: str) -> bytes:
-        return np.array(self.merge(piece.encode()), "<u4").tobytes()
-
-    def _chunk(self, chunk: str) -> bytes:
-        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-            raise _Unspaced
-        return b"".join(map(self.packed.__getitem__, self.pieces(" " + chunk)))
+            chunks.update(text.split(" ")[1:])
+        odd = {c for c in chunks if not c or c[0].isspace() or c[-1].isspace()}
+        cut = []  # the pre-tokens of whole texts, or those in front of the first chunk
+        whole = []
+        for text in texts:
+            head, *rest = text.split(" ")
+            whole.append(bool(head) and head[-1].isspace() or not odd.isdisjoint(rest))
+            cut.append(self.pieces(text if whole[-1] else head))
+        done = self.known_chunks.of(chunks)
+        new = {c: self.pieces(" " + c) for c in chunks if c not in done and c not in odd}
+        pieces = Counter(p for c in (cut, new.values()) for own in c for p in own)
+        found = self._packed(pieces)
+        for chunk, own in new.items():
+            done[chunk] = b"".join([found[p] for p in own])
+            if chunks[chunk] > 1 and len(chunk) <= CACHED_CHARS:
+                self.known_chunks.put(chunk, done[chunk])
+        out = []
+        for text, own, all_of_it in zip(texts, cut, whole, strict=True):
+            front = map(found.__getitem__, own)
+            out.append(b"".join(front if all_of_it else [*front, *map(done.__getitem__, text.split(" ")[1:])]))
+        return out
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of whole texts, as encode() gives them."""
+        """Ids of whole texts, as encode() gives them, for a block of texts that is held at once."""
         texts = [t or "" for t in texts]
-        self.learn(texts)
-        return [self.encode(t) for t in texts]
+        return [self.encode(t) for t in texts] if any(len(t) > SEGMENT for t in texts) else self._block(texts)
 
     def encode(self, text: str) -> bytes:
-        """Ids of a whole text as little-endian unsigned 32-bit integers."""
-        if self.spaced and " " in text:
-            # No match of the pattern crosses a single space between two characters that aren't white space, so
-            # the chunks between such spaces are encoded by themselves; any other text is matched as a whole.
-            head, *chunks = text.split(" ")
-            try:
-                if not head or head[-1].isspace():
-                    raise _Unspaced
-                return b"".join([*map(self.packed.__getitem__, self.pieces(head)), *map(self.chunks.__getitem__, chunks)])
-            except _Unspaced:
-                pass
-        return b"".join(map(self.packed.__getitem__, self.pieces(text)))
+        """Ids of a whole text as little-endian unsigned 32-bit integers; a long one is cut at single spaces if it can be."""
+        out, at = [], 0
+        while self.spaced and len(text) - at > SEGMENT:
+            to = text.find(" ", at + SEGMENT)
+            while to >= 0 and (text[to - 1].isspace() or text[to + 1 : to + 2].isspace() or to + 1 == len(text)):
+                to = text.find(" ", to + 1)
+            if to < 0:
+                break
+            out += self._block([text[at:to]])
+            at = to
+        return b"".join([*out, *self._block([text[at:]])])
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes that packed ids stand for."""
+        if len(ids) > 4 * SEGMENT:
+            return b"".join(self.decode(ids[i : i + 4 * SEGMENT]) for i in range(0, len(ids), 4 * SEGMENT))
         at = np.frombuffer(ids, "<u4").astype(np.int64)
         if len(at) and (at.max() >= len(self.known) or not self.known[at].all()):
             raise ValueError("an id isn't in the vocabulary")
@@ -254,28 +285,30 @@ class Codec:
         return self.bytes[np.repeat(self.starts[at] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
 
 
-class _Unspaced(Exception):
-    """A text that can't be cut at its spaces."""
-
-
-class _Cache(dict):
-    """Values by text, made when first asked for: a young generation and the one before it."""
+class _Known(dict):
+    """Packed ids by text: a young generation and the one before it, each of CACHED bytes, about."""
 
-    def __init__(self, make: Callable[[str], bytes]):
-        super().__init__()
-        self.make, self.old = make, {}
+    old: dict[str, bytes] = {}
+    held = 0
 
-    def __missing__(self, key: str) -> bytes:
-        if (value := self.old.get(key)) is None:
-            value = self.make(key)
-        if len(key) <= CACHED_CHARS:
-            self.put(key, value)
-        return value
+    def of(self, keys: Iterable[str]) -> dict[str, bytes]:
+        """Those of some keys that are known; what only the old generation has becomes young again."""
+        found = {k: self[k] for k in keys if k in self}
+        for k in keys:
+            if k in self.old and k not in found:
+                found[k] = self.old[k]
+        for k, v in found.items():
+            if k not in self:
+                self.put(k, v)
+        return found
 
     def put(self, key: str, value: bytes) -> None:
-        if len(self) >= CACHED:
+        size = 2 * len(key) + len(value) + 180
+        if self.held + size > CACHED:
             self.old = dict(self)
             self.clear()
+            self.held = 0
+        self.held += size
         self[key] = value
 
 

@@ -1,20 +1,26 @@
 """Mixing sources to target weights with a low-discrepancy schedule; DataFrame operations only.
 
-Each source's documents are shuffled by a hash of their id and laid end to end on a line of tokens (words),
-which is cut into blocks of equal length. Slot t of the schedule has the golden-ratio point frac(t * phi); the
+Each source's documents are shuffled by a hash of their keys and laid end to end on a line of tokens (words),
+which is cut into blocks of equal length. Slot t of the schedule has the golden-ratio point t * PHI modulo 2^32; the
 cumulative weights say in which source's interval it falls, so sources alternate as evenly as the weights let
 them. A slot's rank within its source is the block it takes, going round again where a source is repeated. The
-last slot of a source takes what is missing from its target, so the words taken are the target, rounded.
+last slot of a source takes what is missing from its target, so the words taken are the target, rounded. The slots are
+the order of the mix: a document's first_slot is the first one that takes words of it, and ``slots`` are those that take
+its block whole.
 
 A source's weight in the schedule is the number of slots it needs. The largest gap between n golden-ratio
-points is below 1.9 / n, so three times as many points as slots give every source enough of them.
+points is below 1.9 / n, so three times as many points as slots give every source enough of them. Points and weights
+are integers, so every engine gives the same.
 
 Scale: the line of tokens comes from sums by hash bucket within a source and then within a bucket, so a source
-with a third of all rows is spread over BUCKETS tasks. The schedule has some SLOTS rows at any input size.
+with a third of all rows is spread over BUCKETS tasks. Rows of equal keys and size have one place on the line, which
+they take one after another, numbered within each of the table's partitions; so a third of all rows without an id are
+one row of a bucket. The schedule has some SLOTS rows at any input size; targets are one row a source, in one task.
 
 Edge cases: null and empty texts, and those of white space, have size 0 and nothing taken; a null source is a
-source, the last; ties of a hash are ordered by id and size; repeated rows are documents of their own; an empty
-table gives an empty result.
+source, the last; a very long text spans as many blocks as it needs; ties of a hash are ordered by keys and size;
+repeated rows are documents of their own; further columns are passed on, whatever their names but for those of the
+result, which give way; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,11 +36,12 @@ WEIGHTS = (5, 2, 1)
 REPEATS = 3
 #: Slots of the schedule, about.
 SLOTS = 1 << 16
-#: Parts of a source in which its documents are ordered separately.
-BUCKETS = 1 << 12
-#: Cells in which points meet the intervals of weights.
-CELLS = 1 << 10
-PHI = 0.6180339887498949
+#: Bits of the hash by which documents are shuffled, and those that name a bucket.
+BITS, BUCKET_BITS = 60, 12
+#: Bits of a point, and those of the cells in which points meet the intervals of weights.
+POINT_BITS, CELL_BITS = 32, 10
+#: The golden ratio's fraction of 2^32.
+PHI = 2654435769
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -85,12 +92,14 @@ def schedule(goals: DataFrame) -> DataFrame:
     everything = Window.partitionBy()
     part = (
         need.withColumn("all", F.sum("slots").over(everything))
-        .withColumn("to", F.sum("slots").over(Window.orderBy("k")) / F.col("all"))
-        .withColumn("from", F.col("to") - F.col("slots") / F.col("all"))
+        .withColumn("sum", F.sum("slots").over(Window.orderBy("k")))
+        .withColumn("to", F.expr(f"(sum << {POINT_BITS}) div all"))
+        .withColumn("from", F.expr(f"((sum - slots) << {POINT_BITS}) div all"))
     )
-    cells = part.withColumn("cell", F.explode(F.sequence(F.floor(F.col("from") * CELLS).cast("int"), F.floor(F.col("to") * CELLS).cast("int"))))
-    points = goals.agg(F.count("*").alias("n")).select(F.explode(F.sequence(F.lit(0), (3 * (SLOTS + 2 * REPEATS * (F.col("n") + 1))).cast("int"))).alias("t"))
-    points = points.withColumn("u", (F.col("t") * PHI) % 1.0).withColumn("cell", F.floor(F.col("u") * CELLS).cast("int"))
+    width = POINT_BITS - CELL_BITS
+    cells = part.withColumn("cell", F.explode(F.expr(f"sequence(from >> {width}, (to - 1) >> {width})")))
+    points = goals.agg(F.count("*").alias("n")).select(F.explode(F.sequence(F.lit(0).cast("bigint"), 3 * (SLOTS + 2 * REPEATS * (F.col("n") + 1)))).alias("t"))
+    points = points.withColumn("u", F.expr(f"(t * {PHI}) & {(1 << POINT_BITS) - 1}")).withColumn("cell", F.expr(f"u >> {width}"))
     drawn = points.join(cells, "cell").where("u >= from and u < to")
     ranked = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("k").orderBy("t")) - 1).where("rank < slots")
     return (
@@ -102,32 +111,66 @@ def schedule(goals: DataFrame) -> DataFrame:
     )
 
 
-def line(documents: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds ``at``: where a document (k, size, keys) starts on its source's line of tokens."""
-    spread = documents.withColumn("shuffled", F.xxhash64(*keys)).withColumn("bucket", F.expr(f"pmod(shuffled, {BUCKETS})"))
-    parts = spread.groupBy("k", "bucket").agg(F.sum("size").alias("part"))
+def shuffled(keys: list[str]) -> Column:
+    """A hash of BITS bits of a row's keys."""
+    text = F.concat_ws(",", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in keys))
+    return F.conv(F.substring(F.md5(text), 1, BITS // 4), 16, 10).cast("bigint")
+
+
+def line(documents: DataFrame) -> DataFrame:
+    """row and at of documents (row, k, hash, key, size): where each starts on its source's line of tokens."""
+    bucket = F.expr(f"hash >> {BITS - BUCKET_BITS}")
+    places = documents.groupBy("k", bucket.alias("bucket"), "hash", "key", "size").agg((F.count("*") * F.col("size")).alias("words"))
+    parts = places.groupBy("k", "bucket").agg(F.sum("words").alias("part"))
     parts = parts.withColumn("skip", F.sum("part").over(Window.partitionBy("k").orderBy("bucket")) - F.col("part")).drop("part")
-    own = Window.partitionBy("k", "bucket").orderBy("shuffled", *keys, "size")
-    own = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return spread.withColumn("own", F.sum("size").over(own) - F.col("size")).join(parts, ["k", "bucket"]).withColumn("at", F.col("skip") + F.col("own"))
+    own = Window.partitionBy("k", "bucket").orderBy("hash", "key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    starts = places.withColumn("own", F.sum("words").over(own) - F.col("words")).join(parts, ["k", "bucket"]).select("k", "hash", "key", "size", (F.col("skip") + F.col("own")).alias("start"))
+    # equal rows stand one after another: by the table's partition, then within it
+    same = ["k", "hash", "key", "size"]
+    piece = F.expr("row >> 33")
+    numbered = documents.withColumn("piece", piece).withColumn("number", F.row_number().over(Window.partitionBy(*same, "piece").orderBy("row")) - 1)
+    counts = documents.groupBy(*same, piece.alias("piece")).agg(F.count("*").alias("n"))
+    counts = counts.withColumn("ahead", F.sum("n").over(Window.partitionBy(*same).orderBy("piece")) - F.col("n"))
+
+    def equal(x: str, y: str, names: list[str]) -> Column:
+        return F.expr(" and ".join(f"{x}.{c} <=> {y}.{c}" for c in names))
+
+    placed = counts.alias("c").join(starts.alias("s"), equal("c", "s", same)).select("c.*", "start")
+    met = numbered.alias("d").join(placed.alias("p"), equal("d", "p", [*same, "piece"]))
+    return met.select("d.row", (F.col("start") + (F.col("ahead") + F.col("number")) * F.col("d.size")).alias("at"))
 
 
 def mix(documents: DataFrame, keys: list[str], scratch: Scratch) -> DataFrame:
-    """documents (source, size, and others, of which keys name a row) with source_size, target and taken."""
-    others = [c for c in documents.columns if c != "size"]
-    documents = scratch.put(documents.withColumn("row", F.monotonically_increasing_id()), "sizes")
-    goals = targets(documents)
+    """documents (source, size, and others, of which keys name a row) with source_size, target, taken, first_slot and
+    slots."""
+    made = ("source_size", "target", "taken", "first_slot", "slots")
+    others = [c for c in documents.columns if c not in made]
+    held = F.struct(*(F.col(f"`{c}`") for c in others)).alias("own")
+    names = F.struct(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keys))).alias("key")
+    rows = scratch.put(documents.select(F.monotonically_increasing_id().alias("row"), held, "source", F.col("size").cast("bigint").alias("size"), names, shuffled(keys).alias("hash")), "sizes")
+    goals = targets(rows.select("source", "size"))
     tokens = F.greatest(F.lit(1), F.ceil(F.sum("source_size").over(Window.partitionBy()) / SLOTS)).cast("bigint")
     goals = scratch.put(goals.withColumn("tokens", tokens), "goals")
-    taken = schedule(goals).groupBy("k", "block").agg(
-        F.sum(F.when(F.col("takes") == F.col("length"), 1).otherwise(0)).alias("times"),
-        F.max(F.when(F.col("takes") < F.col("length"), F.col("takes")).otherwise(0)).alias("rest"),
+    full = F.col("takes") == F.col("length")
+    taken = (
+        schedule(goals)
+        .groupBy("k", "block")
+        .agg(
+            F.array_sort(F.collect_list(F.when(full, F.col("t")))).alias("slots"),
+            F.max(F.when(~full, F.col("takes")).otherwise(0)).alias("rest"),
+            F.max(F.when(~full, F.col("t"))).alias("last"),
+        )
     )
-    rows = documents.join(goals, documents["source"].eqNullSafe(goals["source"])).drop(goals["source"])
-    spans = line(rows, keys).withColumn("block", F.explode_outer(F.expr("if(size > 0, sequence(at div tokens, (at + size - 1) div tokens), null)")))
-    met = spans.join(taken, ["k", "block"], "left")
+    known = rows.join(goals.withColumnRenamed("source", "of"), F.expr("source <=> of")).drop("of")
+    known = scratch.put(known.select("row", "own", "k", "hash", "key", "size", "source_size", "target", "tokens"), "known")
+    at = line(known.select("row", "k", "hash", "key", "size").where("size > 0"))
+    placed = known.where("size > 0").select("row", "k", "size", "tokens").join(at, "row")
+    spans = placed.withColumn("block", F.explode(F.expr("sequence(at div tokens, (at + size - 1) div tokens)")))
     block_at = F.col("block") * F.col("tokens")
     begin, end = F.greatest(F.col("at"), block_at), F.least(F.col("at") + F.col("size"), block_at + F.col("tokens"))
-    part = F.coalesce("times", F.lit(0)) * (end - begin) + F.greatest(F.lit(0), F.least(end, block_at + F.coalesce("rest", F.lit(0))) - begin)
-    sums = met.groupBy("row", *others, "size", "source_size", "target").agg(F.sum(part).alias("part"))
-    return sums.select(*others, "size", "source_size", "target", F.coalesce("part", F.lit(0)).cast("bigint").alias("taken"))
+    partial = F.greatest(F.lit(0), F.least(end, block_at + F.col("rest")) - begin)
+    met = spans.join(taken, ["k", "block"]).withColumn("part", F.size("slots") * (end - begin) + partial).where("part > 0")
+    first = F.coalesce(F.get("slots", F.lit(0)), F.col("last"))
+    sums = met.groupBy("row").agg(F.sum("part").alias("taken"), F.min(first).alias("first_slot"), F.min_by("slots", "block").alias("slots"))
+    done = known.select("row", "own", "source_size", "target").join(sums, "row", "left")
+    return done.select("own.*", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), "first_slot", F.coalesce("slots", F.expr("cast(array() as array<bigint>)")).alias("slots"))

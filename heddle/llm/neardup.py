@@ -44,7 +44,7 @@ TREES, DEPTH = 24, 5
 #: Rows of a region that are compared all with all, and rows that its next window takes over from the last.
 REGION, OVERLAP = 512, 64
 #: Classes, and their shingles in all, that one task confirms.
-UNIT, HELD = 4096, 4 << 20
+UNIT, HELD = 1024, 1 << 20
 #: Bits of the sketch, and by how many standard deviations more of them may differ than in the mean.
 BITS, DEVIATIONS = 128, 5.0
 _rng = np.random.default_rng(85)
@@ -288,7 +288,8 @@ def remaining(large: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def link(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row."""
+    """doc_id, n_shingles, component_id and kept of every row; text_hash is that of its text, and first says whether it
+    is the one row that stands for its component: that with the least id, the first of several."""
     spark = docs.sparkSession
     rows = scratch.put(signed(docs, k, doc_id, text).withColumn("row", F.monotonically_increasing_id()), "signed")
     classes = (
@@ -296,15 +297,15 @@ def link(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 80, doc_i
         .groupBy("print1", "print2")
         .agg(
             F.min("row").alias("cls"),
-            F.min("id").alias("least"),
-            F.coalesce(F.min_by("hash", "id"), F.min("hash")).alias("hash"),
+            # the row that stands for the class: that with the least id, the first of several
+            F.min(F.struct(F.col("id").isNull().alias("without"), "id", "row", "hash")).alias("rep"),
             F.count("*").alias("copies"),
             F.first("n").alias("n"),
             F.first("mins").alias("mins"),
             F.first("bits").alias("bits"),
         )
     )
-    classes = scratch.put(classes, "classes")
+    classes = scratch.put(classes.withColumns({"least": F.col("rep.id"), "hash": F.col("rep.hash")}), "classes")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     near = scratch.put(forest(classes, parts, differing(percent)), "near")
     units = scratch.put(components(near, scratch, "units"), "unit_of")
@@ -316,6 +317,8 @@ def link(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 80, doc_i
     split = not large.isEmpty()
     # a class's text is that of a row with its least id; fingerprints tell it from others of the same hash
     texts = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.xxhash64(text).alias("of"), F.col(text).alias("text"))
+    if not rows.where("n > 0").groupBy("id", "hash").agg(F.count("*").alias("same")).where("same > 1").isEmpty():
+        texts = scratch.put(texts.groupBy("id", "of").agg(F.first("text").alias("text")), "texts")  # rows that repeat id and text, once
 
     def confirm(key: tuple, table: pa.Table) -> pa.Table:
         found: dict[int, np.ndarray] = {}
@@ -348,11 +351,13 @@ def link(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 80, doc_i
     else:
         links = confirmed(members, "links1")
         roots = links.select(F.col("a").alias("v"), F.col("b").alias("root"))
-    of = classes.select("cls", "print1", "print2", "least", "copies").join(roots, F.col("cls") == F.col("v"), "left").withColumn("root", F.coalesce("root", "cls"))
-    groups = of.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("copies").alias("all"))
-    known = scratch.put(of.join(groups.where("all > 1"), "root").select("print1", "print2", "component_id"), "known")
-    for name in ("near", "unit_of", "sized", "edges", "links1", "links2", "links3"):
+    of = classes.select("cls", "print1", "print2", "rep", "copies").join(roots, F.col("cls") == F.col("v"), "left").withColumn("root", F.coalesce("root", "cls"))
+    groups = of.groupBy("root").agg(F.min("rep").alias("chosen"), F.sum("copies").alias("all"))
+    known = scratch.put(of.join(groups.where("all > 1"), "root").select("print1", "print2", "chosen"), "known")
+    for name in ("near", "unit_of", "sized", "edges", "texts", "links1", "links2", "links3"):
         scratch.drop(name)
-    done = rows.select("id", "n", "print1", "print2").join(known, ["print1", "print2"], "left")
-    own = F.when((F.col("n") > 0) & F.col("component_id").isNotNull(), F.col("component_id")).otherwise(F.col("id"))
-    return done.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id")).withColumn("kept", F.expr("doc_id <=> component_id"))
+    done = rows.select("id", "n", "print1", "print2", "row", "hash").join(known, ["print1", "print2"], "left")
+    in_group = (F.col("n") > 0) & F.col("chosen").isNotNull()
+    own = F.when(in_group, F.col("chosen.id")).otherwise(F.col("id"))
+    found = done.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("hash").alias("text_hash"), F.when(in_group, F.col("row") == F.col("chosen.row")).otherwise(True).alias("first"))
+    return found.select("doc_id", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"), "text_hash", "first")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heddle.llm.scratch import Scratch
-from heddle.llm.textkit import LOWER, U64, Words, blocks, mix, range_hashes, window_hashes
+from heddle.llm.textkit import LOWER, U64, Words, blocks, mix, range_hashes, run_hashes, window_hashes
 
 #: A document has at least so many words.
 MIN_WORDS = 20
@@ -97,23 +97,14 @@ def measure_block(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray
     _, once = np.unique(exact, return_index=True)
     out["n_dup_lines"] = np.bincount(line_doc, minlength=n) - np.bincount(line_doc[once], minlength=n)
     small = Words(LOWER[data], offsets).hashes() if len(words) else h
-    powers = np.cumprod(np.full(len(small) + 1, U64(0xD1342543DE82EF95)))
-    inverse = np.cumprod(np.full(len(small) + 1, U64(pow(0xD1342543DE82EF95, -1, 1 << 64))))
-    total = np.zeros(len(small) + 1, U64)
-    np.cumsum(small * powers[: len(small)], out=total[1:])
-
-    def of_runs(first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """A hash of each run of words, from first to before last."""
-        return mix((total[last] - total[first]) * inverse[first] + (last - first).astype(U64) * _ODD)
-
-    normal = of_runs(first, last)
+    normal = run_hashes(small, first, last)
     # a line that a document repeats is one line
     _, once = np.unique(mix(normal ^ (line_doc.astype(U64) * _ODD)), return_index=True)
     order = np.lexsort((once, line_doc[once]))
     out["lines"] = normal[once][order].view(np.int64)
     out["line_offsets"] = np.searchsorted(line_doc[once][order], np.arange(n + 1)).astype(np.int32)
     out["line_doc"], out["line_number"], out["line_hash"], out["line_words"] = line_doc, number, normal, last - first
-    out["digest"] = of_runs(words.first[:-1], words.first[1:]).view(np.int64)
+    out["digest"] = run_hashes(small, words.first[:-1], words.first[1:]).view(np.int64)
     return out
 
 

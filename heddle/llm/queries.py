@@ -45,10 +45,10 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many words the mix takes of every document."""
+    """How many words the mix takes of every document, and in which slot of the schedule it does so first."""
     docs = table(attach(spark), sf_dir, "documents").select("doc_id", "source", mixing.sizes().alias("size"))
     mixed = mixing.mix(docs, ["doc_id"], Scratch(spark, "op4"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +75,7 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's component of links of 85 percent on shingles of 3 words."""
     docs = table(attach(spark), sf_dir, "documents").select("doc_id", "text")
-    return neardup.link(docs, Scratch(spark, "op8"), 3, 85)
+    return neardup.link(docs, Scratch(spark, "op8"), 3, 85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op9_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,6 +132,26 @@ f AS (SELECT * FROM v WHERE score >= CASE WHEN exact THEN 1 ELSE {licenses.SHARE
 SELECT any_value(doc_id) AS doc_id, any_value(len(w))::bigint AS n_words, count(*) FILTER (exact) AS n_base, min(start) FILTER (exact) AS first_word, max(start) FILTER (exact) AS last_word,
   {_LABELS} FILTER (exact), '') AS base_labels, {_LABELS}, '') AS labels, coalesce(max(score), 0)::double AS score
 FROM l LEFT JOIN f USING (id) GROUP BY id""",
+    "op4_mixing": rf"""WITH d AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '{_SEPARATORS}'), lambda x: x <> ''))::bigint size FROM documents),
+s AS (SELECT source, sum(size)::bigint source_size FROM d GROUP BY source),
+r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 k, 3.0::double * source_size most FROM s),
+w AS (SELECT *, (CASE k % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END)::double weight FROM r),
+x AS (SELECT *, (sum(source_size) OVER () - (sum(most) OVER (ORDER BY most / weight, k) - most)) / (sum(weight) OVER () - sum(weight) OVER (ORDER BY most / weight, k) + weight) level FROM w),
+y AS (SELECT min(level) FILTER (n = 1) level FROM (SELECT level, row_number() OVER (ORDER BY most / weight, k) n FROM x WHERE level * weight <= most)),
+g AS (SELECT k, source, source_size, CASE WHEN y.level IS NULL THEN most ELSE least(most, y.level * weight) END target, greatest(1, ceil(sum(source_size) OVER () / {mixing.SLOTS}::double))::bigint tokens FROM x, y),
+n AS (SELECT *, least(round(target)::bigint, 3 * source_size) want, (source_size + tokens - 1) // tokens blocks FROM g),
+o AS (SELECT *, (want // source_size) * blocks + (want % source_size + tokens - 1) // tokens slots FROM n WHERE want > 0),
+c AS (SELECT *, ((sum(slots) OVER (ORDER BY k))::bigint << {mixing.POINT_BITS}) // (sum(slots) OVER ())::bigint till, (((sum(slots) OVER (ORDER BY k))::bigint - slots) << {mixing.POINT_BITS}) // (sum(slots) OVER ())::bigint since FROM o),
+t AS (SELECT t, (t * {mixing.PHI}) & {(1 << mixing.POINT_BITS) - 1} u FROM (SELECT unnest(range(0, (SELECT 3 * ({mixing.SLOTS} + {2 * mixing.REPEATS} * (count(*) + 1)) + 1 FROM g))) t)),
+a AS (SELECT c.*, t, row_number() OVER (PARTITION BY k ORDER BY t) - 1 rank FROM t JOIN c ON u >= since AND u < till),
+b AS (SELECT k, t, rank % blocks block, least(tokens, source_size - rank % blocks * tokens) length, greatest(0, least(least(tokens, source_size - rank % blocks * tokens), want - (rank // blocks * source_size + rank % blocks * tokens))) takes FROM a WHERE rank < slots),
+m AS (SELECT k, block, count(*) FILTER (takes = length) times, coalesce(max(takes) FILTER (takes < length), 0) rest, coalesce(min(t) FILTER (takes = length), max(t) FILTER (takes < length)) first FROM b GROUP BY k, block),
+e AS (SELECT row_number() OVER () id, doc_id, d.source, size, k, source_size, target, tokens, ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 15))::bigint h FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+l AS (SELECT *, (sum(size) OVER (PARTITION BY k ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) - size)::bigint pos FROM e),
+z AS (SELECT id, k, pos, size, tokens, unnest(range(pos // tokens, (pos + size - 1) // tokens + 1)) block FROM l WHERE size > 0),
+q AS (SELECT id, first, times * (least(pos + size, (block + 1) * tokens) - greatest(pos, block * tokens)) + greatest(0, least(least(pos + size, (block + 1) * tokens), block * tokens + rest) - greatest(pos, block * tokens)) part FROM z JOIN m USING (k, block)),
+v AS (SELECT id, sum(part)::bigint taken, min(first) first_slot FROM q WHERE part > 0 GROUP BY id)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::bigint AS taken, first_slot FROM e LEFT JOIN v USING (id)""",
     "op5_topk": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) v FROM embeddings),
 s AS (SELECT a.vec_id query_id, b.vec_id, list_inner_product(a.v, b.v)::bigint score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
 r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::integer AS rank, vec_id, score FROM s)

@@ -2,28 +2,35 @@
 
 A document's words are compressed in rounds. A round first names every maximal run of one symbol, then every pair
 of a left and a right symbol (a symbol's side is a bit of its name); a name is a hash of what it stands for, so it
-is the same in every document and on every executor, without a dictionary. Each symbol carries its context, the
-words on which it depends; two equal stretches of words hold the same symbols wherever the context lies inside.
-
-Every window of ``window`` words takes one symbol, with some words around it, as its anchor: the one with the
-least name among those whose context the window holds. Equal windows have equal anchors. So windows are compared
-only where their anchor stands in two documents, and then as whole windows, by a second hash. A window that holds
-no symbol's context (long runs, mostly) is its own anchor. How many rounds fit depends on the window: one for 13
-words, one more for each doubling.
-
-Plan: texts are dealt once into chunks of some CHUNK bytes by a hash of id and text; that exchange is reused by the
-three passes over the chunks.
+is the same in every document and on every executor, and naming is global without a dictionary or a shuffle for each
+round. Two equal stretches of words hold the same symbols inside, whatever stands around them; only at their ends may
+a run or a pair reach beyond.
+
+*Revealing.* Each symbol of round ``rounds(window)`` carries its context, the words on which it depends. A window takes
+the least of the symbols whose context it holds, with AROUND more words on either side, as its anchor. Equal windows
+have equal anchors, so windows are compared only where their anchor stands in two documents. A window that holds no
+symbol's context (long runs, mostly) is its own anchor.
+
+*Verifying.* A window is compressed to the end, round by round: what may reach beyond its ends (the run at either end,
+then a right symbol at the left end and a left symbol at the right one) is popped, and what is left are the symbols
+inside, which all windows of these words share. The popped names, of all rounds, are the window's own form: equal
+windows have the same, and different ones differ, as the words can be spelt out from it. It is kept as 128 bits.
+
+Plan: texts are dealt once into chunks of some CHUNK bytes by a hash of id, text and place in the table; that exchange
+is reused by the three passes over the chunks, so the table must give its rows in a stable order, as files do.
 1. Each chunk sends its distinct anchors to buckets by name. A bucket answers with one bit for an anchor: whether
    another chunk or document has it too.
-2. Each chunk sends the windows of such anchors, each with its smallest id there, again to buckets, which answer
-   with one bit: whether a smaller id elsewhere has the window.
+2. Each chunk sends the forms of the windows of such anchors, each with its smallest id there, again to buckets, which
+   answer with one bit: whether a smaller id elsewhere has the window.
 3. Each chunk marks and removes words.
 A window that a third of all documents share is sent once a chunk, and nothing is ever paired with anything. Only
 hashes and bits go between chunks and buckets. A lost executor costs its shuffle files, which Spark makes again.
 
 Edge cases: a null or empty text has no words; texts of fewer words than a window lose nothing; a null id counts
 as larger than all others, so such a row removes nothing elsewhere but loses what rows with ids have; rows with
-one id are judged each against smaller ids; an empty table gives an empty result.
+one id are judged each against smaller ids, repeated rows alike; a very long text is a chunk of its own, whose arrays
+are some 60 bytes a word; columns of the table that aren't asked for are left out, and may have any name; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,13 +43,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heddle.llm.textkit import SPACE, U64, Words, blocks, mix, window_hashes
+from heddle.llm.textkit import SPACE, U64, Words, blocks, mix, run_hashes, window_hashes
 
 #: Bytes of text in a chunk, and hashes in a bucket, about.
 CHUNK, BUCKET = 4 << 20, 1 << 20
 #: Words added to a symbol's context on either side, to make an anchor rarer.
 AROUND = 2
-_MUL, _INV = 0xD1342543DE82EF95, pow(0xD1342543DE82EF95, -1, 1 << 64)
+_MUL, _MUL2 = 0xD1342543DE82EF95, 0xAF251AF3B0F025B5
 _NONE = np.iinfo(np.int64).max
 
 
@@ -51,59 +58,115 @@ def rounds(window: int) -> int:
     return max(1, int(np.log2(max(window, 1) / 6.0))) if window > 6 else 1
 
 
-def _joined(values: np.ndarray, at: np.ndarray, until: np.ndarray) -> np.ndarray:
-    """A hash of each range of values."""
-    total = np.zeros(len(values) + 1, U64)
-    np.cumsum(values * np.cumprod(np.concatenate((np.ones(1, U64), np.full(max(len(values) - 1, 0), U64(_MUL)))))[: len(values)], out=total[1:])
-    back = np.cumprod(np.concatenate((np.ones(1, U64), np.full(len(values), U64(_INV)))))
-    return mix((total[until] - total[at]) * back[at] + (until - at).astype(U64) * U64(0x9E3779B97F4A7C15))
+def compress(name: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Round k of the symbols of consecutive documents: where each run begins, the runs' names, whether a run joins the
+    next one, and whether it is a right symbol."""
+    salt = U64((2 * k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+    again = (doc[1:] == doc[:-1]) & (name[1:] == name[:-1])
+    first = np.flatnonzero(np.concatenate((np.ones(min(len(name), 1), bool), ~again)))
+    run = name[first]
+    if len(first) < len(name):
+        size = np.diff(np.append(first, len(name)))
+        many = size > 1
+        run[many] = mix(run[many] * U64(_MUL) + size[many].astype(U64) + salt)
+    side = (mix(run + salt) >> U64(63)).astype(bool)
+    joins = np.zeros(len(run), bool)
+    joins[:-1] = ~side[:-1] & side[1:] & (doc[first[1:]] == doc[first[:-1]])
+    return first, run, joins, side
+
+
+def paired(run: np.ndarray, joins: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The names of the next round's symbols, and at which run each begins."""
+    salt = U64((2 * k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+    new = run.copy()
+    at = np.flatnonzero(joins)
+    new[at] = mix(run[at] * U64(_MUL) + run[at + 1] + salt + U64(1))
+    begins = np.ones(len(run), bool)
+    begins[at + 1] = False
+    at = np.flatnonzero(begins)
+    return new[at], at
+
+
+def forms(h: np.ndarray, doc: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of the form of each window of words that begins at ``at``: the names popped at its ends, round by round."""
+    one, two = np.full(len(at), U64(window)), np.full(len(at), U64(window + 1))
+    live = np.arange(len(at))  # windows of which something is left: symbols i to before j of the round
+    i, j, name, k = at, at + window, h, 0
+
+    def pop(which: np.ndarray, what: np.ndarray) -> None:
+        one[which] = mix(one[which] * U64(_MUL) + what)
+        two[which] = mix((two[which] ^ what) * U64(_MUL2))
+
+    while len(live):
+        first, run, joins, side = compress(name, doc, k)
+        of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(name))))
+        a, b = of[i], of[j - 1]
+        same = a == b
+        ends = np.append(first, len(name))
+        # the runs at either end, as far as the window has them; their round and side tell popped names apart
+        left = np.minimum(ends[a + 1], j) - i
+        pop(live, mix(name[i] + left.astype(U64) * U64(4 * k + 1)))
+        right = j - first[b]
+        rest = np.flatnonzero(~same)
+        pop(live[rest], mix(name[j[rest] - 1] + right[rest].astype(U64) * U64(4 * k + 2)))
+        live, i, j = live[rest], a[rest] + 1, b[rest]
+        # a right symbol first and a left symbol last may belong to what was popped
+        some = i < j
+        live, i, j = live[some], i[some], j[some]
+        begins = side[i]
+        pop(live[begins], mix(run[i[begins]] + U64(4 * k + 3)))
+        i = i + begins
+        some = i < j
+        live, i, j = live[some], i[some], j[some]
+        closes = ~side[j - 1]
+        pop(live[closes], mix(run[j[closes] - 1] + U64(4 * k + 4)))
+        j = j - closes
+        some = i < j
+        live, i, j = live[some], i[some], j[some]
+        doc = doc[first]
+        name, begin = paired(run, joins, k)
+        doc = doc[begin]
+        place = np.zeros(len(run) + 1, np.int64)
+        place[begin] = 1
+        place = np.cumsum(place) - 1
+        i, j = place[i], np.where(j < len(run), place[np.minimum(j, len(run) - 1)], len(name))
+        k += 1
+    return one, two
 
 
 def recompress(h: np.ndarray, doc: np.ndarray, times: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(name, from, to) of the symbols after some rounds; from and to bound the context, and lie outside of the
     document where it depends on the document's ends."""
-    n = len(h)
-    at = np.arange(n)
-    name, lo, hi = h, at, at
+    name, lo, hi = h, np.arange(len(h)), np.arange(len(h))
+
+    def beside(lo: np.ndarray, hi: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """From where each symbol's left neighbour depends on words, and up to where its right one does."""
+        same = doc[1:] == doc[:-1]
+        return np.concatenate((lo[:1] - 1, np.where(same, lo[:-1], lo[1:] - 1))), np.concatenate((np.where(same, hi[1:], hi[:-1] + 1), hi[-1:] + 1))
+
     for k in range(times):
-        salt = U64((2 * k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
-        same_doc = doc[1:] == doc[:-1]
-        # runs: a symbol depends on its neighbours, as they end its run
-        left = np.concatenate((lo[:1] - 1, np.where(same_doc, lo[:-1], lo[1:] - 1)))
-        right = np.concatenate((np.where(same_doc, hi[1:], hi[:-1] + 1), hi[-1:] + 1))
-        again = same_doc & (name[1:] == name[:-1])
-        if again.any():
-            first = np.flatnonzero(np.concatenate(([True], ~again)))
-            size = np.diff(np.append(first, len(name)))
-            last = first + size - 1
-            name = np.where(size > 1, mix(name[first] * U64(_MUL) + size.astype(U64) + salt), name[first])
-            lo, hi, doc = left[first], right[last], doc[first]
-            same_doc = doc[1:] == doc[:-1]
-        else:
-            lo, hi = left, right
-        # pairs: left symbols join right ones; one that is left alone depends on the neighbour it could have joined
-        side = (mix(name + salt) >> U64(63)).astype(bool)
-        joins = np.concatenate((~side[:-1] & side[1:] & same_doc, [False]))
-        taken = np.concatenate(([False], joins[:-1]))
-        before = np.concatenate((lo[:1] - 1, np.where(same_doc, lo[:-1], lo[1:] - 1)))
-        after = np.concatenate((np.where(same_doc, hi[1:], hi[:-1] + 1), hi[-1:] + 1))
-        mate = np.concatenate((name[1:], name[:1]))
-        new = np.where(joins, mix(name * U64(_MUL) + mate + salt + U64(1)), name)
-        new_lo = np.where(~joins & side, before, lo)
-        new_hi = np.where(joins | ~side, after, hi)
-        name, lo, hi, doc = new[~taken], new_lo[~taken], new_hi[~taken], doc[~taken]
+        first, run, joins, side = compress(name, doc, k)
+        # a run depends on the neighbours that end it
+        left, right = beside(lo, hi, doc)
+        lo, hi, doc = left[first], right[np.append(first[1:], len(name)) - 1], doc[first]
+        # one that is left alone depends on the neighbour it could have joined
+        before, after = beside(lo, hi, doc)
+        lo, hi = np.where(~joins & side, before, lo), np.where(joins | ~side, after, hi)
+        name, begin = paired(run, joins, k)
+        lo, hi, doc = lo[begin], hi[begin], doc[begin]
     return name, lo, hi
 
 
 def _least_inside(lo: np.ndarray, hi: np.ndarray, key: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """The least key of the symbols (in order of lo) within each window, and whether there is one."""
-    begin = np.searchsorted(lo, at)
+    most = int(max(lo[-1], hi.max(), at[-1] + window)) + 1 if len(lo) and len(at) else 0
+    begin = np.concatenate(([0], np.cumsum(np.bincount(lo, minlength=most))))[at] if most else np.zeros(len(at), np.int64)
     best = np.full(len(at), U64(0xFFFFFFFFFFFFFFFF))
     found = np.zeros(len(at), bool)
-    if not len(lo):
+    if not most:
         return best, found
     if not np.any(hi[1:] < hi[:-1]):  # a window's symbols are a range: the least of two spans of a power of two
-        size = np.searchsorted(hi, at + window) - begin
+        size = np.concatenate(([0], np.cumsum(np.bincount(hi, minlength=most))))[at + window] - begin
         found = size > 0
         span, k = key, 1
         while True:
@@ -138,6 +201,7 @@ class Windows:
         if not len(self.at):
             self.anchor = np.zeros(0, U64)
             return
+        self.docs = docs
         name, lo, hi = recompress(self.h, docs, rounds(window))
         lo, hi = lo - AROUND, hi + AROUND
         inside = (lo >= 0) & (hi < len(self.h))
@@ -146,16 +210,17 @@ class Windows:
         lo, hi = lo[inside], hi[inside]
         order = np.argsort(lo, kind="stable") if np.any(np.diff(lo) < 0) else slice(None)
         lo, hi = lo[order], hi[order]
-        key = mix(_joined(self.h, lo, hi + 1) ^ name[inside][order])
+        key = mix(run_hashes(self.h, lo, hi + 1) ^ name[inside][order])
         best, found = _least_inside(lo, hi, key, self.at, window)
         alone = ~found
         if alone.any():
             best[alone] = mix(window_hashes(self.h, window, 3)[self.at[alone]])
         self.anchor = best & ~U64(1)
 
-    def texts(self, which: np.ndarray) -> np.ndarray:
-        """The hashes of some windows' words."""
-        return window_hashes(self.h, self.window, 1)[self.at[which]]
+    def forms(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The forms of some windows."""
+        at = self.at[which]
+        return forms(self.h, self.docs, at, self.window) if len(at) else (np.zeros(0, U64), np.zeros(0, U64))
 
 
 def _by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
@@ -167,14 +232,17 @@ def _by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[i
     return order, [(b, int(ends[b] - size[b]), int(ends[b])) for b in np.flatnonzero(size).tolist()]
 
 
-def _least(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, the least doc of each, and whether a key has several docs."""
-    order = np.lexsort((docs, keys))
-    keys, docs = keys[order], docs[order]
-    head = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, bool)
+def _least(keys: np.ndarray, more: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct (key, more) in order, the least doc of each, whether it has several docs, and which of them each row has."""
+    order = np.lexsort((docs, more, keys)) if more is not keys else np.lexsort((docs, keys))
+    ordered, rest, of = keys[order], more[order], docs[order]
+    head = np.ones(len(order), bool)
+    head[1:] = (ordered[1:] != ordered[:-1]) | (rest[1:] != rest[:-1])
     first = np.flatnonzero(head)
-    last = np.append(first[1:], len(keys)) - 1 if len(first) else first
-    return keys[first], docs[first], docs[first] != docs[last]
+    last = np.append(first[1:], len(order))[: len(first)] - 1
+    at = np.empty(len(order), np.int64)
+    at[order] = np.cumsum(head) - 1
+    return ordered[first], rest[first], of[first], of[first] != of[last], at
 
 
 class Chunk:
@@ -184,7 +252,7 @@ class Chunk:
         ids = table.column("id").combine_chunks()
         self.ids = ids.fill_null(_NONE).to_numpy(zero_copy_only=False)
         self.parts = []
-        for i, j, data, offsets in blocks(table.column("text"), CHUNK):
+        for i, j, data, offsets in blocks(table.column("text")):
             words = Words(data, offsets, SPACE)
             self.parts.append((i, j, data, words, Windows(words, self.ids[i:j], window)))
         self.anchors = np.concatenate([w.anchor for *_, w in self.parts] or [np.zeros(0, U64)])
@@ -194,7 +262,8 @@ class Chunk:
         """Distinct anchors, and whether several documents here have them."""
         change = np.ones(len(self.anchors), bool)
         change[1:] = (self.anchors[1:] != self.anchors[:-1]) | (self.docs[1:] != self.docs[:-1])
-        keys, _, several = _least(self.anchors[change], self.docs[change])
+        anchors = self.anchors[change]
+        keys, _, _, several, _ = _least(anchors, anchors, self.docs[change])
         return keys, several
 
     def shared(self, masks: dict[int, bytes], buckets: int) -> np.ndarray:
@@ -203,12 +272,14 @@ class Chunk:
         marked = _marked(keys, masks, buckets)
         return marked[np.searchsorted(keys, self.anchors)] if len(keys) else np.zeros(0, bool)
 
-    def texts(self, shared: np.ndarray) -> np.ndarray:
-        out, at = [np.zeros(0, U64)], 0
+    def forms(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The forms of some of the chunk's windows."""
+        out, at = [(np.zeros(0, U64), np.zeros(0, U64))], 0
         for *_, w in self.parts:
-            out.append(w.texts(shared[at : at + len(w.at)]))
+            out.append(w.forms(shared[at : at + len(w.at)]))
             at += len(w.at)
-        return np.concatenate(out)
+        one, two = zip(*out, strict=True)
+        return np.concatenate(one), np.concatenate(two)
 
 
 def _marked(keys: np.ndarray, masks: dict[int, bytes], buckets: int) -> np.ndarray:
@@ -220,50 +291,48 @@ def _marked(keys: np.ndarray, masks: dict[int, bytes], buckets: int) -> np.ndarr
     return marked
 
 
-_SENT = "bucket int, chunk int, keys binary, docs binary"
+_SENT = "bucket int, chunk int, keys binary, more binary, docs binary"
 _MASK = "chunk int, step int, bucket int, mask binary"
 
 
-def _sent(chunk: int, keys: np.ndarray, docs: np.ndarray | None, buckets: int, flags: np.ndarray | None = None) -> pa.Table:
+def _sent(chunk: int, keys: np.ndarray, buckets: int, more: np.ndarray | None = None, docs: np.ndarray | None = None, flags: np.ndarray | None = None) -> pa.Table:
     order, spans = _by_bucket(keys, buckets)
     keys = keys if flags is None else keys | flags.astype(U64)
-    keys, docs = keys[order], docs[order] if docs is not None else None
-    return pa.table(
-        {
-            "bucket": pa.array([b for b, _, _ in spans], pa.int32()),
-            "chunk": pa.array([chunk] * len(spans), pa.int32()),
-            "keys": pa.array([keys[i:j].tobytes() for _, i, j in spans], pa.binary()),
-            "docs": pa.array([docs[i:j].tobytes() if docs is not None else None for _, i, j in spans], pa.binary()),
-        }
-    )
+
+    def cut(values: np.ndarray | None) -> pa.Array:
+        values = None if values is None else values[order]
+        return pa.array([None if values is None else values[i:j].tobytes() for _, i, j in spans], pa.binary())
+
+    return pa.table({"bucket": pa.array([b for b, _, _ in spans], pa.int32()), "chunk": pa.array([chunk] * len(spans), pa.int32()), "keys": cut(keys), "more": cut(more), "docs": cut(docs)})
 
 
 def _answers(table: pa.Table, step: int) -> pa.Table:
     """For each chunk that sent something, a bit for each key: whether it stands elsewhere (step 1), or does so in a
     smaller document (step 2)."""
-    chunks = table.column("chunk").to_pylist()
-    sent = [np.frombuffer(x.as_buffer(), U64) for c in table.column("keys").chunks for x in c]
+
+    def all_of(column: str, kind: type = U64) -> list[np.ndarray]:
+        return [np.frombuffer(x.as_buffer(), kind) for c in table.column(column).chunks for x in c]
+
+    sent = all_of("keys")
     sizes = [len(x) for x in sent]
     raw = np.concatenate(sent)
-    keys = raw & ~U64(1) if step == 1 else raw
-    order = np.argsort(keys, kind="stable")
-    ordered = keys[order]
-    head = np.concatenate(([True], ordered[1:] != ordered[:-1]))
-    group = np.cumsum(head) - 1
-    yes = np.zeros(len(keys), bool)
     if step == 1:
-        several = (np.bincount(group) > 1) | (np.bincount(group, (raw & U64(1))[order].astype(float)) > 0)
-        yes[order] = several[group]
+        keys = raw & ~U64(1)
+        order = np.argsort(keys, kind="stable")
+        ordered = keys[order]
+        group = np.cumsum(np.concatenate(([True], ordered[1:] != ordered[:-1]))) - 1
+        yes = np.zeros(len(keys), bool)
+        yes[order] = ((np.bincount(group) > 1) | (np.bincount(group, (raw & U64(1))[order].astype(float)) > 0))[group]
     else:
-        docs = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for c in table.column("docs").chunks for x in c])[order]
-        least = np.minimum.reduceat(docs, np.flatnonzero(head))
-        yes[order] = least[group] < docs
+        docs = np.concatenate(all_of("docs", np.int64))
+        _, _, least, _, at = _least(raw, np.concatenate(all_of("more")), docs)
+        yes = least[at] < docs
     ends = np.cumsum(sizes)
     return pa.table(
         {
-            "chunk": pa.array(chunks, pa.int32()),
-            "step": pa.array([step] * len(chunks), pa.int32()),
-            "bucket": pa.array(table.column("bucket").to_pylist(), pa.int32()),
+            "chunk": table.column("chunk"),
+            "step": pa.array([step] * len(sizes), pa.int32()),
+            "bucket": table.column("bucket"),
             "mask": pa.array([np.packbits(yes[e - s : e]).tobytes() for s, e in zip(sizes, ends, strict=True)], pa.binary()),
         }
     )
@@ -273,38 +342,43 @@ def _masks(table: pa.Table, step: int) -> dict[int, bytes]:
     return {b: m for s, b, m in zip(table.column("step").to_pylist(), table.column("bucket").to_pylist(), table.column("mask").to_pylist(), strict=True) if s == step}
 
 
+def dealt(docs: DataFrame, chunks: int, doc_id: str, text: str, keep: tuple[str, ...]) -> DataFrame:
+    """chunk, id, text and own (the columns to keep) of every row."""
+    place = F.monotonically_increasing_id()
+    return docs.select(F.pmod(F.xxhash64(doc_id, text, place), F.lit(chunks)).cast("int").alias("chunk"), F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"), F.struct(doc_id, *keep).alias("own"))
+
+
 def remove(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), spacing: bool = False) -> DataFrame:
     """doc_id, the columns in ``keep``, n_words, n_removed and kept_text of every row: the kept words joined by one
     space, or each with the white space that follows it in the text (spacing)."""
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     chunks = max(1, -(-total // CHUNK))
     buckets = max(1, -(-total // (16 * BUCKET)))
-    dealt = docs.select(F.pmod(F.xxhash64(doc_id, text), F.lit(chunks)).cast("int").alias("chunk"), F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"), F.struct(doc_id, *keep).alias("own"))
-    by_chunk = dealt.groupBy("chunk")
+    parts = dealt(docs, chunks, doc_id, text, keep)
+    by_chunk = parts.groupBy("chunk")
 
     def first(key: tuple, table: pa.Table) -> pa.Table:
         keys, several = Chunk(table, window).names()
-        return _sent(key[0].as_py(), keys, None, buckets, several)
+        return _sent(key[0].as_py(), keys, buckets, flags=several)
 
     def second(key: tuple, table: pa.Table, masks: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return _sent(0, np.zeros(0, U64), None, buckets)
+            return _sent(0, np.zeros(0, U64), buckets)
         chunk = Chunk(table, window)
         shared = chunk.shared(_masks(masks, 1), buckets)
-        keys, least, _ = _least(chunk.texts(shared), chunk.docs[shared])
-        return _sent(key[0].as_py(), keys, least, buckets)
+        keys, more, least, _, _ = _least(*chunk.forms(shared), chunk.docs[shared])
+        return _sent(key[0].as_py(), keys, buckets, more, least)
 
-    schema = T.StructType([T.StructField("own", dealt.schema["own"].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
+    schema = T.StructType([T.StructField("own", parts.schema["own"].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
 
     def third(key: tuple, table: pa.Table, masks: pa.Table) -> pa.Table:
         chunk = Chunk(table, window)
         shared = chunk.shared(_masks(masks, 1), buckets)
-        texts, owners = chunk.texts(shared), chunk.docs[shared]
-        keys, least, _ = _least(texts, owners)
+        owners = chunk.docs[shared]
+        keys, _, least, _, at = _least(*chunk.forms(shared), owners)
         earlier = _marked(keys, _masks(masks, 2), buckets)
-        at = np.searchsorted(keys, texts)
         gone = np.zeros(len(shared), bool)
-        gone[shared] = (earlier[at] | (least[at] < owners)) if len(keys) else False
+        gone[shared] = earlier[at] | (least[at] < owners)
         n, removed, kept, begin = [], [], [], 0
         for _, _, data, words, w in chunk.parts:
             edge = np.zeros(len(words) + window + 1, np.int32)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+from bisect import bisect
 from collections import Counter, defaultdict
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -60,8 +62,8 @@ def shingles(text, k):
     return frozenset([tuple(w)] if w else [])
 
 
-def near(rows, k, percent):
-    """(id, set size, component, kept) of rows (id, text)."""
+def _joined(rows, k, percent):
+    """The rows' sets, and which row stands for each row's component."""
     sets, holders, up = [shingles(t, k) for _, t in rows], defaultdict(list), list(range(len(rows)))
 
     def find(x):
@@ -77,6 +79,17 @@ def near(rows, k, percent):
         for j, n in common.items():
             if 100 * n >= percent * (len(a) + len(sets[j]) - n):
                 up[find(i)] = find(j)
+    return sets, find
+
+
+def n_components(rows, k, percent):
+    sets, find = _joined(rows, k, percent)
+    return len({find(i) for i, s in enumerate(sets) if s})
+
+
+def near(rows, k, percent):
+    """(id, set size, component, kept) of rows (id, text)."""
+    sets, find = _joined(rows, k, percent)
     least = {}
     for i, (d, _) in enumerate(rows):
         if d is not None:
@@ -114,6 +127,40 @@ def targets(sizes):
         capped |= more
 
 
+def mixed(rows, slots):
+    """{id: (taken, first slot)} of rows (id, source, size): the schedule's slots one by one."""
+    phi = 2654435769  # the golden ratio's fraction of 2^32
+    sizes = {}
+    for _, s, n in rows:
+        sizes[s] = sizes.get(s, 0) + n
+    goals = targets(sizes)
+    order = [s for s in sorted(sizes, key=lambda s: (s is None, s or "")) if goals[s] >= 0.5]
+    tokens = max(1, -(-sum(sizes.values()) // slots))
+    want = {s: min(int(goals[s] + 0.5), 3 * sizes[s]) for s in order}
+    need = {s: want[s] // sizes[s] * -(-sizes[s] // tokens) + -(-(want[s] % sizes[s]) // tokens) for s in order}
+    line = {}
+    for s in order:
+        line[s] = [i for i, _, n in sorted((r for r in rows if r[1] == s), key=lambda r: (hashlib.md5(str(r[0]).encode()).hexdigest()[:15], r[0])) for _ in range(n)]
+    ends, total = [], 0
+    for s in order:
+        total += need[s]
+        ends.append(total)
+    ends = [e * 2**32 // total for e in ends]
+    taken, first, rank = Counter(), {}, Counter()
+    for t in range(100 * (slots + 100)):
+        s = order[bisect(ends, t * phi % 2**32)]
+        n = -(-sizes[s] // tokens)
+        turn, block = divmod(rank[s], n)
+        rank[s] += 1
+        begin = turn * sizes[s] + block * tokens
+        for i in line[s][block * tokens : (block + 1) * tokens][: max(0, want[s] - begin)]:
+            taken[i] += 1
+            first.setdefault(i, t)
+        if all(rank[s] >= need[s] for s in order):
+            break
+    return {i: (taken[i], first.get(i)) for i, _, _ in rows}
+
+
 def by_null(row):
     return tuple((x is None, x if x is not None else 0) for x in row)
 

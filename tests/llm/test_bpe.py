@@ -41,11 +41,22 @@ def test_queues_agree_and_end_empty():
 
 
 def test_caches_are_bounded(monkeypatch):
-    monkeypatch.setattr(bpe, "CACHED", 50)
+    monkeypatch.setattr(bpe, "CACHED", 20_000)
     c = bpe.Codec(CODEC.ranks, PATTERN)
-    texts = [f"w{i} z{i * 7}" for i in range(500)]
-    assert [ids(x) for x in c.encode_all(texts)] == [OTHER.encode_ordinary(t) for t in texts]
-    assert len(c.packed) + len(c.packed.old) <= 101
+    for k in range(4):
+        texts = [f"w{i} z{i * 7} z{i * 7}" for i in range(k * 100, k * 100 + 500)]
+        assert [ids(x) for x in c.encode_all(texts)] == [OTHER.encode_ordinary(t) for t in texts]
+    for known in (c.known_pieces, c.known_chunks):
+        assert (known or known.old) and sum(2 * len(k) + len(v) + 180 for held in (known, known.old) for k, v in held.items()) <= 2 * 20_000
+
+
+def test_long_texts_are_cut_at_single_spaces(monkeypatch):
+    monkeypatch.setattr(bpe, "SEGMENT", 20)
+    rng = random.Random(3)
+    for _ in range(200):
+        text = "".join(rng.choices(["the", "é", " ", "  ", "\n", " a", "'s", " 12", "."], k=rng.randint(0, 200)))
+        (packed,) = CODEC.encode_all([text])
+        assert ids(packed) == OTHER.encode_ordinary(text) and CODEC.decode(packed) == text.encode()
 
 
 def test_unknown_id():
@@ -55,7 +66,7 @@ def test_unknown_id():
 
 def test_frames(spark):
     df = spark.createDataFrame([(1, "a b", "x"), (1, "a b", "x"), (2, None, "y"), (3, "", None)], "doc_id int, text string, ids string")
-    made = bpe.encode(df.drop("ids"), PATH, PATTERN)
+    made = bpe.encode(df, PATH, PATTERN)
     assert {tuple(r) for r in bpe.decode(made, PATH, PATTERN).select("doc_id", "decoded").collect()} == {(1, b"a b"), (2, b""), (3, b"")}
     # a column with a result's name gives it up
     assert sorted(bpe.round_trip(df, PATH, PATTERN).columns) == ["decoded", "doc_id", "ids", "text"]

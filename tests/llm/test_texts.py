@@ -160,6 +160,54 @@ def test_symbols_of_equal_stretches_agree():
         assert found[0] == found[1] and found[0]
 
 
+def _thue_morse():
+    x = b"ab"
+    while len(x) < 1024:
+        x += x.translate(bytes.maketrans(b"ab", b"ba"))
+    return x.decode(), x.translate(bytes.maketrans(b"ab", b"ba")).decode()
+
+
+def test_words_that_cancel_in_polynomials_are_told_apart(spark):
+    """Two different Thue-Morse words, as words, as runs of words and as windows."""
+    a, b = _thue_morse()
+    rows = [(1, " ".join([a] * 20)), (2, " ".join([b] * 20)), (3, " ".join(a)), (4, " ".join(b)), (5, " ".join([a] * 20))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, substrings.remove(df, 700).collect()))
+    assert got == sorted(brute.removed(rows, 700))
+    assert sorted(map(tuple, substrings.remove(df, 13).collect())) == sorted(brute.removed(rows, 13))
+    near = {r["doc_id"]: r["component_id"] for r in neardup.link(df, Scratch(spark, "t"), 600, 85).collect()}
+    assert near == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+
+
+@pytest.mark.parametrize("window", [1, 2, 3, 7, 13, 40])
+def test_forms_are_those_of_the_words(window):
+    """Equal windows have equal forms whatever stands around them, and different ones don't."""
+    import numpy as np
+
+    rng = np.random.default_rng(window)
+    for size in (1, 2, 3, 8, 1000):
+        docs = [rng.integers(0, size, rng.integers(0, 120)) for _ in range(30)]
+        docs += [*docs[:5], np.concatenate((docs[6][5:], docs[7])), np.repeat(rng.integers(0, size, 20), rng.integers(1, 9, 20))]
+        docs.append(np.concatenate((rng.integers(0, size, 3), docs[-1])))
+        w, doc = np.concatenate(docs), np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+        at = np.array([i for i in range(len(w) - window + 1) if doc[i] == doc[i + window - 1]], int)
+        one, two = substrings.forms(substrings.mix(w.astype(np.uint64) + np.uint64(77)), doc, at, window)
+        by_words, by_form = {}, {}
+        for i, form in zip(at.tolist(), zip(one.tolist(), two.tolist(), strict=True), strict=True):
+            words = tuple(w[i : i + window].tolist())
+            assert by_words.setdefault(words, form) == form and by_form.setdefault(form, words) == words
+
+
+def test_rows_without_ids_are_spread_over_chunks(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "CHUNK", 20_000)
+    text = " ".join(f"w{i}" for i in range(30))
+    df = spark.createDataFrame([(None, text)] * 2000 + [(1, text)], "doc_id long, text string")
+    chunk = substrings.dealt(df, 20, "doc_id", "text", ()).groupBy("chunk").count().collect()
+    assert max(r["count"] for r in chunk) < 2 * 2001 / 20
+    got = substrings.remove(df, 13)
+    assert {(r["doc_id"], r["n_removed"]) for r in got.collect()} == {(None, 30), (1, 0)}
+
+
 def test_substring_query(spark, docs):
     got = {tuple(r) for r in queries.op7_substrings(spark, DATA).collect()}
     assert got == {(d, n, r, hashlib.sha256(t.encode()).hexdigest()) for d, n, r, t in brute.removed(docs, 13)}
@@ -200,8 +248,24 @@ def test_near(spark, monkeypatch, k, percent, unit):
             w[rng.randrange(len(w))] = rng.choice("klmn")
         rows.append((rng.choice([i, i, i, None, 20]), " ".join(w)))
     df = spark.createDataFrame([(*r, 0, "x") for r in rows], "doc_id long, text string, n int, cls string")
-    got = sorted(map(tuple, neardup.link(df, Scratch(spark, "t"), k, percent).collect()), key=brute.by_null)
-    assert got == sorted(brute.near(rows, k, percent), key=brute.by_null)
+    found = neardup.link(df, Scratch(spark, "t"), k, percent).collect()
+    assert sorted((tuple(r)[:4] for r in found), key=brute.by_null) == sorted(brute.near(rows, k, percent), key=brute.by_null)
+    # one row stands for each component
+    assert sum(r["first"] for r in found if r["n_shingles"]) == brute.n_components(rows, k, percent)
+    assert all(r["first"] for r in found if not r["n_shingles"])
+
+
+def test_rows_without_ids_meet_once(spark, monkeypatch):
+    """Rows that repeat id and text, here a third of the table, bring their text to a unit once."""
+    base = [f"w{i}" for i in range(100)]
+    rows = [(None, " ".join(base)) for _ in range(1500)] + [(None, " ".join([*base[:99], "x"])) for _ in range(1500)] + [(i, f"other text of its own {i} " * 3) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    scratch = Scratch(spark, "t")
+    monkeypatch.setattr(scratch, "drop", lambda *names: None)
+    found = neardup.link(df, scratch, 3, 85).collect()
+    assert spark.read.parquet(scratch.at("texts")).count() == 52 and spark.read.parquet(scratch.at("links1")).count() == 2
+    assert sum(r["first"] for r in found if r["doc_id"] is None) == 1
+    assert all(r["kept"] and r["component_id"] is None for r in found if r["doc_id"] is None)
 
 
 def test_large_unit_is_searched_whole(spark, monkeypatch):
@@ -212,7 +276,7 @@ def test_large_unit_is_searched_whole(spark, monkeypatch):
     base = [f"w{i}" for i in range(60)]
     rows = [(None if i % 5 == 0 else i, " ".join(rng.choice("xyz") if rng.random() < 0.03 else w for w in base)) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted(map(tuple, neardup.link(df, Scratch(spark, "t"), 3, 85).collect()), key=brute.by_null)
+    got = sorted((tuple(r)[:4] for r in neardup.link(df, Scratch(spark, "t"), 3, 85).collect()), key=brute.by_null)
     assert got == sorted(brute.near(rows, 3, 85), key=brute.by_null)
 
 
@@ -257,9 +321,9 @@ def test_components(spark):
 def test_mix(spark):
     rng = random.Random(7)
     rows = [(i, rng.choice(["a", "a", "a", "b", "Z", "é", None]), rng.choice([0, 1, 5, 40, 900])) for i in range(400)] + [(1, "tiny", 3)] * 2 + [(None, "tiny", 0)] * 2
-    df = spark.createDataFrame([(*r, 9) for r in rows], "doc_id long, source string, size long, k int").drop("k")
+    df = spark.createDataFrame([(*r, 9, 1, 2, 3) for r in rows], "doc_id long, source string, size long, k int, block int, row int, target int")
     got = mixing.mix(df, ["doc_id"], Scratch(spark, "t")).collect()
-    assert len(got) == len(rows)
+    assert len(got) == len(rows) and all(tuple(r[c] for c in ("k", "block", "row")) == (9, 1, 2) for r in got)
     sizes = {}
     for _, s, n in rows:
         sizes[s] = sizes.get(s, 0) + n
@@ -274,7 +338,31 @@ def test_mix(spark):
     assert sorted(map(tuple, again.collect()), key=brute.by_null_text) == sorted(map(tuple, got), key=brute.by_null_text)
     assert mixing.mix(df.limit(0), ["doc_id"], Scratch(spark, "t")).count() == 0
     nothing = spark.createDataFrame([(1, "a", 0)], "doc_id long, source string, size long")
-    assert [r["taken"] for r in mixing.mix(nothing, ["doc_id"], Scratch(spark, "t")).collect()] == [0]
+    assert [tuple(r)[3:] for r in mixing.mix(nothing, ["doc_id"], Scratch(spark, "t")).select("doc_id", "source", "size", "taken", "first_slot").collect()] == [(0, None)]
+
+
+def test_the_points_order_the_mix(spark, monkeypatch):
+    """Slots by a plain walk over the golden-ratio points; others give another order."""
+    monkeypatch.setattr(mixing, "SLOTS", 64)
+    rng = random.Random(8)
+    rows = [(i, "ab"[i % 4 == 0], rng.randint(1, 30)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    got = {r["doc_id"]: (r["taken"], r["first_slot"]) for r in mixing.mix(df, ["doc_id"], Scratch(spark, "t")).collect()}
+    assert got == brute.mixed(rows, mixing.SLOTS)
+    monkeypatch.setattr(mixing, "PHI", 1779033703)
+    other = {r["doc_id"]: (r["taken"], r["first_slot"]) for r in mixing.mix(df, ["doc_id"], Scratch(spark, "t")).collect()}
+    assert {d: t for d, (t, _) in other.items()} == {d: t for d, (t, _) in got.items()} and other != got
+
+
+def test_rows_without_ids_have_one_place(spark):
+    """A third of all rows alike is one row of its bucket, and its copies stand one after another."""
+    rows = [(None, "a", 3)] * 3000 + [(i, "a", 2) for i in range(6000)]
+    df = spark.createDataFrame(rows, "key long, source string, size long").repartition(6)
+    known = df.select(F.monotonically_increasing_id().alias("row"), F.lit(0).alias("k"), mixing.shuffled(["key"]).alias("hash"), F.struct("key").alias("key"), "size")
+    at = [r["at"] for r in mixing.line(known).collect()]
+    assert len(set(at)) == len(rows) and max(at) in (21000 - 2, 21000 - 3)
+    plan = mixing.line(known)._jdf.queryExecution().toString()
+    assert "Window" in plan and known.groupBy("k", "hash", "key", "size").count().where("key.key is null").count() == 1
 
 
 def test_sizes(spark):
@@ -283,5 +371,7 @@ def test_sizes(spark):
 
 
 def test_mix_query(spark, docs):
+    rows = [(r["doc_id"], r["source"], len(brute.words(r["text"]))) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     got = queries.op4_mixing(spark, DATA).collect()
-    assert {r["doc_id"]: r["size"] for r in got} == {d: len(brute.words(t)) for d, t in docs}
+    assert {r["doc_id"]: r["size"] for r in got} == {d: n for d, _, n in rows}
+    assert {r["doc_id"]: (r["taken"], r["first_slot"]) for r in got} == brute.mixed(rows, mixing.SLOTS)

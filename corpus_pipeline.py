@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.llm import bpe, mixing, neardup, quality, substrings
@@ -26,7 +26,7 @@ from heddle.session import attach, table
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Words of a window that is cut out where an earlier document has it.
 WINDOW = 40
-#: Bytes of text in a part of the mixed documents, about.
+#: Bytes of text in a part of the mixed documents, at most about; a small table has four parts for each core.
 PART = 64 << 20
 
 _open: list[Scratch] = []
@@ -78,7 +78,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     # a copy stands where the slots take the document's first block, or else where they first take words of it
     each = mixed.withColumn("times", times).where("times > 0").select("key", "slots", "first_slot", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("copy"))
     placed = each.select("key", F.coalesce(F.get("slots", F.col("copy")), "first_slot").alias("slot"), "copy")
-    parts = max(1, -(-keyed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // PART))
+    parts = max(4 * spark.sparkContext.defaultParallelism, -(-keyed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // PART))
     return keyed.join(placed, "key").repartitionByRange(parts, "slot", "key", "copy").sortWithinPartitions("slot", "key", "copy").select(*COLUMNS)
 
 

@@ -25,7 +25,9 @@ slots there are. Matching follows a page's tokens through the wrapper's expressi
 few at a time. Places and texts are counted as hashes. Wrappers are joined to pages by host; Spark broadcasts them if small and splits large hosts if not.
 
 Edge cases: a null or empty page has an empty text; pages without a url, or one that names no host, form a host of
-their own; broken tags end at the next ``<`` or the page's end; repeated rows give repeated results.
+their own; broken tags end at the next ``<`` or the page's end; a head ends at the first thing that can't be in it; very
+long pages are read whole, in time linear in their length; repeated rows give repeated results; columns that aren't asked
+for are left out, and may have any name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -71,9 +73,23 @@ SIGNS = frozenset(
     "gdpr header hidden login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion recommended related "
     "replies reply search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget alert alertdialog dialog discussion responses".split()
 )
+#: The signs of an inline advert; what a class says of a page's state, not of the element; and
+#: words that may follow a sign in a class.
+ADS = frozenset("ad ads advert advertisement adverts advertising sponsor sponsored promo promotion".split())
+STATES = frozenset("has with without no is not show hide".split())
+PARTS = frozenset(
+    "area articles bar block bottom box buttons container content entries fixed form group heading icons inner item items left links list main outer panel "
+    "post posts primary right row secondary section slot stories sticky text thread title top unit wrap wrapper".split()
+)
+#: Elements of a head, which any other ends, and what ends an element whose end tag may be missing, within
+#: the element named last.
+OF_HEAD = frozenset("base link meta".split()) | frozenset(RAW)
+ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"})}
+ENDS |= {t: ({"td", "th", "tr", "tbody", "thead", "tfoot"}, {"table"}) for t in ("td", "th")} | {t: ({"tr", "tbody", "thead", "tfoot"}, {"table"}) for t in ("tr",)}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*?)>|<(?P<open>/?)(?P<bad>[a-zA-Z][^\s/><]*)[^<>]*(?:>|(?=<)|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORD = re.compile(r"[a-z]+")
+_NUMBER = re.compile(r"[0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _HEADING = re.compile(r"h[1-6](?:\W|$)")
 #: Characters of a tag that mean something in streams and wrappers.
@@ -82,6 +98,24 @@ _INNER = re.compile(r"[^\s()*?+]+")
 _PART = re.compile(r"[()]|[^\s()*?+]+|[*?+]")
 
 
+def _signed(value: str, signs: frozenset[str] = SIGNS) -> bool:
+    """Whether a class, id or role names a part of a page that isn't the article: one of its names ends with such a word,
+    or goes on with words for a part, and doesn't tell a state."""
+    for name in value.split():
+        words = _WORD.findall(_NUMBER.sub("", name))
+        if STATES.isdisjoint(words):
+            while words and words[-1] in PARTS and words[-1] not in signs:
+                words.pop()
+            if words and words[-1] in signs:
+                return True
+    return False
+
+
+def _named(rest: str, signs: frozenset[str]) -> bool:
+    """Whether a tag's class, id or role has a sign."""
+    return any(name.lower() in ("class", "id", "role") and _signed((a or b or c).lower(), signs) for name, a, b, c in _ATTRIBUTE.findall(rest))
+
+
 def _element(tag: str, rest: str) -> str:
     """A tag's name in streams: with ``!`` if its attributes say it isn't part of an article, or ``@`` if they say it is."""
     if not rest or rest.isspace() or rest == "/":
@@ -90,7 +124,7 @@ def _element(tag: str, rest: str) -> str:
     for name, a, b, c in _ATTRIBUTE.findall(rest):
         name, value = name.lower(), (a or b or c).lower()
         if name in ("class", "id", "role"):
-            if SIGNS.intersection(_WORD.findall(value)):
+            if tag not in ("html", "body", "main") and _signed(value):
                 kind = "!"
             elif not kind and (name == "role" and value == "main" or name == "itemprop" and value == "articlebody"):
                 kind = "@"
@@ -105,54 +139,85 @@ def stream(page: str) -> Iterator[tuple[str, str | None]]:
     stack: list[str] = []
     held: list[str] = []
     at, n = 0, len(page)
+    skip, depth, code = "", 0, 0  # an inline advert, how often it is open, and how deep in code this is
 
     def flush() -> Iterator[tuple[str, str | None]]:
         if held:
             text = " ".join("".join(held).split())
             held.clear()
             if text:
+                if stack and stack[-1] == "head":
+                    stack.pop()
+                    yield "/head", None
                 yield "#" + ">".join(stack), text
 
+    def leave(i: int) -> Iterator[tuple[str, str | None]]:
+        name = stack[i].rstrip("!@")
+        del stack[i:]
+        yield "/" + name, None
+
     while at < n:
         m = _TOKEN.search(page, at)
+        if not skip:
+            held.append(html_.unescape(page[at : m.start() if m else n]))
         if not m:
-            held.append(html_.unescape(page[at:]))
             break
-        if m.start() > at:
-            held.append(html_.unescape(page[at : m.start()]))
         at = m.end()
-        if m["cdata"] is not None:
+        if m["cdata"] is not None and not skip:
             held.append(m["cdata"])
         tag = _MEANT.sub("_", (m["tag"] or m["bad"] or "").lower())
         if not tag:
             continue
-        end = (m["end"] or m["open"]) == "/"
+        end, rest = (m["end"] or m["open"]) == "/", m["rest"] or ""
         if tag in RAW:
-            if not end and not (m["rest"] or "").endswith("/"):
+            if not end and not rest.endswith("/"):
                 close = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = close.end() if close else n
             continue
         if tag in INLINE:
-            if tag in ("br", "wbr", "img"):
-                held.append(" " if tag == "br" else "")
+            if tag == "code":
+                code = max(0, code + (-1 if end else 1))
+            if skip:
+                depth += (tag == skip) * (-1 if end else 1)
+                skip = skip if depth else ""
+            elif not end and rest and tag not in ("br", "wbr", "img") and not code and "pre" not in stack and _named(rest, ADS):
+                skip, depth = tag, 1
+            if tag == "br" and not skip:
+                held.append(" ")
             continue
         yield from flush()
+        skip, depth = "", 0
+        if not end and stack and stack[-1] == "head" and tag not in OF_HEAD:
+            yield from leave(len(stack) - 1)
         if tag in VOID:
             continue
-        if tag in MARKS:
-            if not end:
-                yield _element(tag, m["rest"] or ""), None
-            continue
-        if end:
+        if not end:
+            # elements that end here without an end tag
+            if stack and stack[-1] == "p!":
+                yield from leave(len(stack) - 1)
+            for i in range(len(stack) - 1, -1, -1):
+                name = stack[i].rstrip("!@")
+                if name in ENDS and tag in ENDS[name][0]:
+                    yield from leave(i)
+                    break
+                if any(name in within for own, within in ENDS.values() if tag in own):
+                    break
+        if tag in MARKS and not end:
+            name = tag + "!" * (bool(rest) and _named(rest, SIGNS))
+            if name == tag:
+                yield name, None
+                continue
+            stack.append(name)
+            yield name, None
+        elif end:
             found = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].rstrip("!@") == tag), None)
-            if found is not None:
-                del stack[found:]
-                yield "/" + tag, None
+            if found is not None and (tag not in ENDS or not any(x.rstrip("!@") in ENDS[tag][1] for x in stack[found:])):
+                yield from leave(found)
         else:
-            name = _element(tag, m["rest"] or "")
+            name = _element(tag, rest)
             stack.append(name)
             yield name, None
-            if (m["rest"] or "").endswith("/"):
+            if rest.endswith("/"):
                 stack.pop()
     yield from flush()
 
@@ -416,7 +481,7 @@ def fixed_texts(pages: DataFrame, kinds: DataFrame, scratch: Scratch, html: str
                 slots.append([{"place": p, "text": h} for p, h in sorted({(p, _hash(text)) for p, text in own})])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.int64()), pa.array(slots, kind)], names=["host", "page", "slots"])
 
-    found = pages.join(kinds, "host").select("host", "wrapper", html).mapInArrow(placed, "host string, page bigint, slots array<struct<place int, text bigint>>")
+    found = pages.select("host", F.col(html).alias("_html")).join(kinds, "host").select("host", "wrapper", "_html").mapInArrow(placed, "host string, page bigint, slots array<struct<place int, text bigint>>")
     different = scratch.put(found.dropDuplicates(["host", "page"]), "different")
     hosts = different.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= PAGES)
     reached = different.select("host", F.explode(F.array_distinct("slots.place")).alias("place")).groupBy("host", "place").agg(F.count("*").alias("reached"))
@@ -445,4 +510,6 @@ def extract(pages: DataFrame, found: DataFrame, keys: list[str], html: str = "ht
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keys))), pa.array(texts, pa.string())], names=[*keys, "text"])
 
     own = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keys)
-    return pages.join(found, "host", "left").select(*keys, html, "wrapper", "fixed").mapInArrow(run, f"{own}, text string")
+    known = found.select(F.col("host").alias("_host"), F.col("wrapper").alias("_wrapper"), F.col("fixed").alias("_fixed"))
+    asked = pages.select(*(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(keys)), F.col(html).alias("_html"), F.col("host").alias("_of"))
+    return asked.join(known, F.expr("_of <=> _host"), "left").select(*(f"_{i}" for i in range(len(keys))), "_html", "_wrapper", "_fixed").mapInArrow(run, f"{own}, text string")

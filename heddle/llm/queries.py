@@ -35,7 +35,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     warc.write(warc.with_roles(pages, scratch), scratch.at("archives"))
     scratch.drop("first")
-    return warc.read(spark, scratch.at("archives")).where("reason is null").select(warc.page_number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_number("refers_to").alias("refers_to"))
+    found = warc.read(spark, scratch.at("archives"), names="part-*")
+    # these archives were just written, so a gap is an error
+    whole = F.when(F.col("reason").isNull(), F.col("record_id")).otherwise(F.raise_error(F.concat_ws(" ", F.lit("a gap in"), "archive", F.col("at").cast("string"), "reason")))
+    return found.withColumn("record_id", whole).select(warc.page_number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_number("refers_to").alias("refers_to"))
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,9 @@ version line in an uncompressed file), goes on there, and reports the bytes betw
 
 Edge cases: a null or empty payload is a payload of no bytes, and rows with it share it like any other; a null
 url is written as ``urn:unknown``; a null page id takes no part in choosing the response, and is returned as
-null; rows repeating the response's page id are responses as well. An empty table gives an empty archive.
+null; rows repeating the response's page id are responses as well. An empty table gives an empty archive. A very long
+payload is one record, held whole. Further columns are passed on by with_roles(), but for those with a name of its
+results, which give way; an archive's record holds none of them.
 """
 
 from __future__ import annotations
@@ -175,10 +177,13 @@ def with_roles(pages: DataFrame, scratch: Scratch, page_id: str = "page_id", pay
     Only digests that several rows have are joined back. That table is written first, so both sides of the join
     are plain exchanges and Spark may split a digest that many rows have.
     """
-    rows = pages.select("*", F.coalesce(F.col(payload), F.lit("")).cast("binary").alias("payload")).withColumn("sha1", F.unhex(F.sha1("payload")))
-    first = rows.groupBy("sha1").agg(F.min(page_id).alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("sha1", "first")
+    made = ("payload", "sha1", "refers_to")
+    own = [F.col(f"`{c}`") for c in pages.columns if c not in made]
+    rows = pages.select(*own, F.coalesce(F.col(payload), F.lit("")).cast("binary").alias("payload")).withColumn("sha1", F.unhex(F.sha1("payload")))
+    first = rows.groupBy("sha1").agg(F.min(page_id).alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select(F.col("sha1").alias("_sha1"), F.col("first").alias("_first"))
     first = scratch.put(first, "first")
-    return rows.join(first, "sha1", "left").withColumn("refers_to", F.expr(f"if({page_id} <=> first, null, first)")).drop("first")
+    met = rows.alias("r").join(first, F.expr("sha1 = _sha1"), "left")
+    return met.select("r.*", F.expr(f"if(`{page_id}` <=> _first, null, _first)").alias("refers_to"))
 
 
 def _runs(members: list[bytes]) -> pa.RecordBatch:
@@ -215,8 +220,8 @@ def write(rows: DataFrame, path: str, page_id: str = "page_id", url: str = "url"
     )
 
 
-def read(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
-    """Records and gaps of all archives under a path: archive, at, length, reason (null for records), the named
+def read(spark: SparkSession, path: str, payloads: bool = False, names: str = "*") -> DataFrame:
+    """Records and gaps of all archives under a path, of the names that a glob pattern gives: archive, at, length, reason (null for records), the named
     headers, payload_bytes, payload_digest, and the payload if asked for."""
     schema = "archive string, at bigint, length bigint, reason string, record_type string, record_id string, refers_to string, url string, payload_bytes bigint, payload_digest string" + ", payload binary" * payloads
 
@@ -234,12 +239,12 @@ def read(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
                     yield _batch(rows)
 
     types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), *[pa.binary()] * payloads]
-    names = [x.split()[0] for x in schema.split(", ")]
+    columns = [x.split()[0] for x in schema.split(", ")]
 
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=columns)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content").mapInArrow(run, schema)
+    return spark.read.format("binaryFile").option("pathGlobFilter", names).load(path).select("path", "content").mapInArrow(run, schema)
 
 
 def page_number(column: str) -> Column:

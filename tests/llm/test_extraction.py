@@ -36,6 +36,16 @@ def text(page, *others):
         ("<ul><li>a</li><li>b<ul><li>c</ul></ul><table><tr><td>1<td>2</table>", "a\nb\nc\n1\n2"),
         ("<div>a<div>b</div>c</div></div></p><p>d", "a\nb\nc\nd"),
         ("<script>never closed <p>x", ""),
+        ("<html><head><meta charset=x><title>t</title><body><p>hello", "hello"),
+        ("<head><title>t</title>hello<p>you", "hello\nyou"),
+        ('<body class="post has-sidebar"><p>x</body>', "x"),
+        ('<div class="page-with-header"><main><p>x</main></div>', "x"),
+        ('<article><p>a</p><section class="search-engines"><p>b</p></section></article>', "a\nb"),
+        ('<article><p>a<p class="advertisement">no<p>b</article>', "a\nb"),
+        ("<table><tr><td class=sidebar><div>no</div><p>no<td>b<tr><td>c</table>", "b\nc"),
+        ('<ul><li class="ad">no<ul><li>no</ul><li>b</ul>', "b"),
+        ('<p>a <span class="ad">no <b>no</b></span>b <span class=word>c</span></p>', "a b c"),
+        ('<pre><code>x <span class="ad">y</span></code></pre>', "x y"),
     ],
 )
 def test_pages(page, want):
@@ -60,13 +70,15 @@ def test_other_pages_of_the_host_tell_where_the_article_is():
 
 
 def test_frames(spark):
-    rows = [(1, "http://H.x/1", "<article>a</article>"), (1, "http://h.x:80/2", "<article>a</article>"), (2, None, "<p>b"), (3, "nonsense", None), (4, "https://u@h.x", "")]
-    df = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, wrapper int").withColumn("host", x.host())
-    assert sorted(r["host"] for r in df.collect()) == ["", "", "h.x", "h.x", "h.x"]
-    found = x.wrappers(df.drop("wrapper"), Scratch(spark, "t"))
-    got = sorted(map(tuple, x.extract(df.drop("wrapper"), found, ["page_id"]).collect()))
-    assert got == [(1, "a"), (1, "a"), (2, "b"), (3, ""), (4, "")]
-    assert x.extract(df.drop("wrapper").limit(0), found, ["page_id"]).count() == 0
+    long = " ".join(f"w{i}" for i in range(200_000))
+    rows = [(9, "http://l.x", f"<article>{long}</article>"), (1, "http://H.x/1", "<article>a</article>"), (1, "http://h.x:80/2", "<article>a</article>"), (2, None, "<p>b"), (3, "nonsense", None), (4, "https://u@h.x", "")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, wrapper int").withColumn("host", x.host()).withColumn("fixed", x.F.lit(1))
+    assert sorted(r["host"] for r in df.collect()) == ["", "", "h.x", "h.x", "h.x", "l.x"]
+    found = x.wrappers(df, Scratch(spark, "t"))
+    got = sorted(map(tuple, x.extract(df, found, ["page_id"]).collect()))
+    assert got == [(1, "a"), (1, "a"), (2, "b"), (3, ""), (4, ""), (9, long)]
+    assert sorted(map(tuple, x.extract(df, found, ["page_id", "wrapper"]).select("page_id", "wrapper").collect())) == [(r[0], 1) for r in sorted(rows, key=lambda r: r[0])]
+    assert x.extract(df.limit(0), found, ["page_id"]).count() == 0
 
 
 def test_many_different_pages_of_a_host(spark, monkeypatch):

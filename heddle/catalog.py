@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from heddle.functions import scalar, sparse, vector
 from heddle.operators import backfill, matching, reranking, retrieval
-from heddle.plans import fixtures
+from heddle.plans import api, fixtures
 from heddle.session import attach, table
+from heddle.sources.tables import encoded, sparse_form
+from heddle.sources.tables import vector_columns as columns_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -63,14 +65,14 @@ k AS (SELECT *, row_number() OVER (PARTITION BY job, cv, rid ORDER BY s DESC, id
 
 
 @_query(
-    """WITH t AS (SELECT vec_id, embedding::double[] v FROM embeddings WHERE vec_id < 40)
+    """WITH t AS (SELECT vec_id, embedding::double[] v FROM embeddings)
 SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS cosine, round(list_inner_product(a.v, b.v), 6) AS product
-FROM t a JOIN t b ON a.vec_id < b.vec_id"""
+FROM t a JOIN t b ON a.vec_id + 1 = b.vec_id"""
 )
 def dense_cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of the first 40 vectors, a fixed small set, by expressions."""
-    t = table(spark, sf_dir, "embeddings").where("vec_id < 40")
-    pairs = t.alias("a").join(t.alias("b"), F.expr("a.vec_id < b.vec_id"))
+    """Every vector and the next one, by expressions."""
+    t = table(spark, sf_dir, "embeddings")
+    pairs = t.alias("a").join(t.alias("b"), F.expr("a.vec_id + 1 = b.vec_id"))
     return pairs.select(F.col("a.vec_id").alias("a"), F.col("b.vec_id").alias("b"), F.round(vector.cosine_safe("a.embedding", "b.embedding"), 6).alias("cosine"), F.round(vector.dot("a.embedding", "b.embedding"), 6).alias("product"))
 
 
@@ -214,8 +216,8 @@ def hybrid_topn_cv_to_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"WITH {_SCORED} SELECT job_id, count(*) AS passed, round(max(final_score), 6) AS best FROM f GROUP BY job_id")
 def hybrid_threshold_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many CVs pass the floor for every job."""
-    found = retrieval.search(fixtures.jobs(spark, sf_dir), fixtures.cvs(spark, sf_dir), 1 << 30)
-    return found.groupBy(F.col("source_id").alias("job_id")).agg(F.count("*").alias("passed"), F.round(F.max("final_score"), 6).alias("best"))
+    found = retrieval.passing(fixtures.jobs(spark, sf_dir), fixtures.cvs(spark, sf_dir))
+    return found.select(F.col("source_id").alias("job_id"), "passed", *_r6("best"))
 
 
 _OVERLAP = """1.0::double / (1.0::double + exp(-(2.0::double * len(list_intersect(list_distinct(list_filter(string_split(lower(a), ' '), lambda w: w <> '')), list_distinct(list_filter(string_split(lower(b), ' '), lambda w: w <> '')))) - 1.0::double) / 10.0::double))"""
@@ -246,16 +248,51 @@ def search_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("source_id").alias("job_id"), "total_retrieved", "total_reranked")
 
 
-@_query(f"WITH {_HALVES} SELECT id, id % 2 = 0 AS is_job, len(p)::integer AS dim FROM t WHERE id % 10 = 4")
+@_query(f"WITH {_HALVES} SELECT id, id % 2 = 0 AS is_job, len(p)::integer AS dim FROM t")
 def vector_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of some ids that can be searched with."""
+    """Rows of ids, here all, that can be searched with."""
     from heddle.sources.tables import lookup
 
     rows = fixtures.halves(spark, sf_dir)
-    found = lookup(rows, rows.where("id % 10 = 4").select("id"))
+    found = lookup(rows, table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id")))
     return found.select("id", (F.col("id") % 2 == 0).alias("is_job"), F.size("problem_dense").alias("dim"))
 
 
+@_query(f"WITH {_SCORED}, r AS (SELECT job_id, count(*) n FROM f GROUP BY job_id), j AS (SELECT id FROM t WHERE id % 2 = 0) SELECT id AS job_id, least(coalesce(n, 0), 50) AS total_retrieved, least(coalesce(n, 0), 20) AS total_reranked, least(coalesce(n, 0), 20)::integer AS n_items FROM j LEFT JOIN r ON job_id = id")
+def search_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search route for every job: those for which nothing passes the floor have a row of zero counts."""
+    texts = fixtures.texts(spark, sf_dir)
+    jobs, cvs = (f(spark, sf_dir).join(texts, "id", "left") for f in (fixtures.jobs, fixtures.cvs))
+    return api.hybrid_search(jobs, cvs).select(F.col("source_id").alias("job_id"), "total_retrieved", "total_reranked", F.size("items").alias("n_items"))
+
+
+@_query(
+    """WITH a AS (SELECT unnest([NULL, 1, 20, 50, 200]) x), g AS (SELECT a.x n, b.x k, c.x t FROM a, a b, a c), l AS (SELECT n, k, t, coalesce(n, t, 50) m FROM g)
+SELECT n AS retrieve, k AS rerank, t AS top_k, m AS retrieved, least(coalesce(k, least(m, coalesce(t, 20))), m) AS reranked FROM l"""
+)
+def search_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What requests of limits come to."""
+    some = (None, 1, 20, 50, 200)
+    rows = [(n, k, t, *retrieval.limits(n, k, t)) for n in some for k in some for t in some]
+    return spark.createDataFrame(rows, "retrieve int, rerank int, top_k int, retrieved int, reranked int")
+
+
+@_query("SELECT * FROM (VALUES (0, 'capability_dense_vector', 'text'), (1, 'capability_sparse_vector', 'text'), (2, 'problem_dense_vector', 'text'), (3, 'problem_sparse_vector', 'text')) t(place, name, form)")
+def vector_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vector columns of a table that stores vectors as text, by name, and how it stores sparse ones."""
+    stored = fixtures.halves(spark, sf_dir)
+    stored = encoded(stored, ("problem_dense", "capability_dense"), ("problem_sparse", "capability_sparse")).toDF("id", *(f"{c}_vector" for c in stored.columns[1:]))
+    found = [(i, name, sparse_form(stored)) for i, (name, _) in enumerate(columns_of(stored))]
+    return spark.createDataFrame(found, "place int, name string, form string")
+
+
+@_query("SELECT doc_id, 64 AS dim, len(regexp_extract_all(lower(text), '[\\w]')) > 0 AS unit FROM documents")
+def embed_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text embedded at length 1, or 0 if it has no words."""
+    made = api.embed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select("doc_id", "dim", (F.abs(vector.norm("dense") - 1) < 1e-5).alias("unit"))
+
+
 # ---- matching
 
 
@@ -362,6 +399,26 @@ def backfill_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backfill.status(tables).select("table", "total", "completed", "pending", *_r6("completed_percent", "pending_percent"), "missing_text")
 
 
+@_query(
+    f"""WITH {_BACKLOG}, s AS (SELECT count(*) total, count(*) FILTER (NOT lacks) completed, count(*) FILTER (coalesce(problem_text, '') = '' OR coalesce(capability_text, '') = '') missing FROM b)
+SELECT 'jobs' AS "table", total, completed || ' (' || printf('%.1f', 100.0::double * completed / total) || '%)' AS completed, (total - completed) || ' (' || printf('%.1f', 100.0::double * (total - completed) / total) || '%)' AS pending, nullif(missing, 0) AS missing_text FROM s"""
+)
+def backfill_status_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The status as it is shown."""
+    return backfill.status_text({"jobs": fixtures.backlog(spark, sf_dir)})
+
+
+@_query(
+    f"""WITH {_BACKLOG} SELECT 'rows' AS "table", count(*) FILTER (lacks AND problem_text <> '' AND capability_text <> '') AS processed FROM b
+UNION ALL SELECT 'chunks', count(*) FROM embeddings WHERE vec_id % 3 = 0 AND vec_id % 7 <> 0"""
+)
+def backfill_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows a pass over each table embeds."""
+    made = {"rows": backfill.embed_rows(fixtures.backlog(spark, sf_dir))[0], "chunks": backfill.embed_chunks(fixtures.chunk_backlog(spark, sf_dir))[0]}
+    rows, chunks = (df.agg(F.count("*").alias("processed")).select(F.lit(name).alias("table"), "processed") for name, df in made.items())
+    return rows.unionByName(chunks)
+
+
 @_query(
     f"""WITH {_BACKLOG} SELECT id, NOT (lacks AND (coalesce(problem_text, '') = '' OR coalesce(capability_text, '') = '')) AS complete, CASE WHEN lacks AND problem_text <> '' AND capability_text <> '' THEN 64 ELSE 32 END AS dim FROM b"""
 )

@@ -7,6 +7,7 @@ same methods takes their place.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import zlib
@@ -14,11 +15,12 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heddle.functions import sparse
-from heddle.functions.scalar import cap_text
+from heddle.functions.scalar import MAX_CHARS, cap_text
 
 #: Texts that go to a model at once.
 BATCH = 16
@@ -62,55 +64,65 @@ class OverlapReranker:
         return [1.0 / (1.0 + math.exp(-(2.0 * len(a & b) - 1.0) / 10.0)) for a, b in words]
 
 
-_made: dict[int, object] = {}
+#: Instances that a worker keeps.
+KEPT = 4
+_made: dict[bytes, object] = {}
 
 
-def _instance(make: Callable[[], object]) -> object:
-    """One instance a worker of what a factory makes."""
-    key = hash((getattr(make, "__module__", ""), getattr(make, "__qualname__", ""), repr(make)))
+def _instance(key: bytes, make: Callable[[], object]) -> object:
+    """One instance a worker of what a factory makes; key is the same for all copies of the factory."""
     if key not in _made:
+        while len(_made) >= KEPT:
+            del _made[next(iter(_made))]
         _made[key] = make()
     return _made[key]
 
 
+def _key(make: Callable[[], object]) -> bytes:
+    return hashlib.sha256(cloudpickle.dumps(make)).digest()
+
+
 HYBRID = f"struct<dense:array<float>,sparse:{sparse.TYPE}>"
 
 
-def embed(text: Column | str, make: Callable[[], Encoder] = HashEncoder, cap: bool = True) -> Column:
-    """A struct of a text's dense and sparse vectors. Texts are capped unless cap is false; null embeds as empty."""
+def embed(text: Column | str, make: Callable[[], Encoder] = HashEncoder, cap: bool = True, most: int = MAX_CHARS, size: int = BATCH) -> Column:
+    """A struct of a text's dense and sparse vectors. Texts are capped to ``most`` unless cap is false; null embeds as
+    empty; a model gets ``size`` texts at once."""
+    key = _key(make)
 
     @F.pandas_udf("struct<dense:array<float>,tokens:array<int>,weights:array<double>>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = _instance(make)
+        model = _instance(key, make)
         for texts in batches:
             dense, tokens, weights = [], [], []
-            for i in range(0, len(texts), BATCH):
-                for v, w in model.encode(texts.iloc[i : i + BATCH].tolist()):
+            for i in range(0, len(texts), size):
+                for v, w in model.encode(texts.iloc[i : i + size].tolist()):
                     dense.append(v)
                     tokens.append(list(w))
                     weights.append(list(w.values()))
             yield pd.DataFrame({"dense": dense, "tokens": tokens, "weights": weights})
 
-    out = run(cap_text(text) if cap else F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+    out = run(cap_text(text, most) if cap else F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
     return F.struct(out["dense"].alias("dense"), sparse.from_weights(F.map_from_arrays(out["tokens"], out["weights"])).alias("sparse"))
 
 
-def rerank_score(query: Column | str, text: Column | str, make: Callable[[], Reranker] = OverlapReranker) -> Column:
+def rerank_score(query: Column | str, text: Column | str, make: Callable[[], Reranker] = OverlapReranker, most: int = MAX_CHARS, size: int = BATCH) -> Column:
     """A pair's score; both texts are capped."""
+    key = _key(make)
 
     @F.pandas_udf("double")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        model = _instance(make)
+        model = _instance(key, make)
         for queries, texts in batches:
             scores: list[float] = []
-            for i in range(0, len(queries), BATCH):
-                got = model.score(list(zip(queries.iloc[i : i + BATCH], texts.iloc[i : i + BATCH], strict=True)))
+            for i in range(0, len(queries), size):
+                got = model.score(list(zip(queries.iloc[i : i + size], texts.iloc[i : i + size], strict=True)))
                 scores += [float(x) for x in (got if hasattr(got, "__iter__") else [got])]
             yield pd.Series(scores)
 
-    return run(cap_text(query), cap_text(text))
+    return run(cap_text(query, most), cap_text(text, most))
 
 
-def embed_table(df: DataFrame, column: str, make: Callable[[], Encoder] = HashEncoder) -> DataFrame:
-    """df with ``dense`` and ``sparse`` of one text column, the model run once a row."""
-    return df.withColumn("_e", embed(column, make)).withColumn("dense", F.col("_e.dense")).withColumn("sparse", F.col("_e.sparse")).drop("_e")
+def embed_table(df: DataFrame, column: str, make: Callable[[], Encoder] = HashEncoder, **how: object) -> DataFrame:
+    """df with ``dense`` and ``sparse`` of one text column, the model run once a row; how: as for embed()."""
+    return df.withColumn("_e", embed(column, make, **how)).withColumn("dense", F.col("_e.dense")).withColumn("sparse", F.col("_e.sparse")).drop("_e")

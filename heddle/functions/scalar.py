@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -59,9 +60,26 @@ def percent(score: Column | str) -> Column:
 
     @F.pandas_udf("double")
     def rounded(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: round(v, 2), na_action="ignore")
+        # a value near to a tie is rounded by Python itself, any other by NumPy, which then gives the same
+        v = x.to_numpy(np.float64, copy=True)
+        with np.errstate(invalid="ignore"):
+            near = np.flatnonzero(np.abs(np.abs(v * 100 % 1) - 0.5) < 1e-6)
+            out = np.round(v, 2)
+        out[near] = [round(float(y), 2) for y in v[near]]
+        return pd.Series(out)
 
-    return rounded((F.col(score) if isinstance(score, str) else score) * F.lit(100.0))
+    hundred = (F.col(score) if isinstance(score, str) else score) * F.lit(100.0)
+    return F.when(hundred.isNotNull(), rounded(hundred))
+
+
+def shown(percent: Column | str) -> Column:
+    """A percent as text with one decimal, rounded as Python formats it."""
+
+    @F.pandas_udf("string")
+    def text(x: pd.Series) -> pd.Series:
+        return x.map("{:.1f}%".format, na_action="ignore")
+
+    return text(percent)
 
 
 def is_vectorless(*columns: str) -> Column:

@@ -48,6 +48,11 @@ def clean(sparse: Column | str) -> Column:
     return F.coalesce(F.when(n >= 0, build(good)), empty())
 
 
+def from_json_text(text: Column | str) -> Column:
+    """What a JSON text of indices and values holds, for storing: cleaned, and empty if it is malformed."""
+    return clean(decode(text))
+
+
 def encode_text(sparse: Column | str) -> Column:
     """``{i:v,...}/dimension`` with six decimals."""
     c = clean(sparse)
@@ -63,14 +68,18 @@ def encode_json(sparse: Column | str) -> Column:
 
 def decode(text: Column | str) -> Column:
     """Either text form as a sparse vector; null, an empty form or anything malformed is the empty vector. Parts
-    without a colon are passed over."""
+    without a colon are passed over; a JSON object may lack one of its lists, and may hold numbers as texts."""
     t = F.btrim(_of(text))
-    as_json = F.from_json(t, TYPE)
+    read = F.from_json(t, "struct<indices:array<string>,values:array<string>,_corrupt_record:string>")
+    indices = F.coalesce(F.transform(read["indices"], lambda x: F.btrim(x).try_cast("int")), F.array().cast("array<int>"))
+    values = F.coalesce(F.transform(read["values"], lambda x: F.btrim(x).try_cast("double")), F.array().cast("array<double>"))
+    whole = read["_corrupt_record"].isNull() & ~F.exists(indices, lambda x: x.isNull()) & ~F.exists(values, lambda x: x.isNull())
+    as_json = F.when(whole, F.struct(indices.alias("indices"), values.alias("values")))
     inner = F.btrim(F.split(t, "/").getItem(0), F.lit("{}"))
     parts = F.filter(F.split(inner, ","), lambda p: F.contains(p, F.lit(":")))
     pairs = F.transform(parts, lambda p: F.struct(F.btrim(F.substring_index(p, ":", 1)).try_cast("int").alias("i"), F.btrim(F.substr(p, F.locate(":", p) + 1)).try_cast("double").alias("v")))
     from_text = F.when(~F.exists(pairs, lambda p: p["i"].isNull() | p["v"].isNull()), build(pairs))
-    found = F.when(t.startswith('{"'), F.when(as_json["indices"].isNotNull() & as_json["values"].isNotNull(), as_json)).otherwise(from_text)
+    found = F.when(t.startswith('{"'), as_json).otherwise(from_text)
     empty_forms = ["", "{}", f"{{}}/{DIMENSION}", f"{{}}/{OLD_DIMENSION}"]
     return F.coalesce(F.when(t.isNotNull() & ~t.isin(empty_forms), found), empty())
 

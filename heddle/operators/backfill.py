@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from heddle.functions import sparse
 from heddle.functions.models import Encoder, HashEncoder, embed
-from heddle.functions.scalar import has_text, is_vectorless
+from heddle.functions.scalar import has_text, is_vectorless, shown
 
 VECTORS = ("problem_dense", "problem_sparse", "capability_dense", "capability_sparse")
 #: Which columns the two spaces are embedded from. "reference" is shifted by one column; "intended" isn't.
@@ -62,11 +62,33 @@ def store(target: DataFrame, updates: DataFrame, columns: tuple[str, ...], path:
     """Writes the merged table as a new version and returns how many rows were updated, counted as they pass."""
     from pyspark.sql import Observation
 
-    seen = Observation("stored")
+    seen = Observation()
     merge(target, updates.observe(seen, F.count(F.lit(1)).alias("n")), columns).write.mode("errorifexists").parquet(path)
     return seen.get["n"]
 
 
+def run_all(tables: dict[str, DataFrame], path: str, step: Callable[[DataFrame], tuple[DataFrame, DataFrame]] = embed_rows, columns: tuple[str, ...] = VECTORS) -> dict[str, dict[str, object]]:
+    """One pass over each table in turn, which writes its new version under path; for every table how many rows were
+    processed, or the error that it ended with. A table's failure leaves the others alone. ``total`` sums them up."""
+    done: dict[str, dict[str, object]] = {}
+    for name, rows in tables.items():
+        try:
+            done[name] = {"processed": store(rows, step(rows)[0], columns, f"{path}/{name}"), "error": None}
+        except Exception as e:  # whatever it was, the next table is tried, and the caller is told
+            done[name] = {"processed": 0, "error": f"{type(e).__name__}: {e}"}
+    return done | {"total": {"processed": sum(x["processed"] for x in done.values()), "error": None}}
+
+
+def status_text(tables: dict[str, DataFrame]) -> DataFrame:
+    """table, completed and pending as shown, with percents, and missing_text, null if there is none."""
+    s = status(tables)
+
+    def line(c: str) -> Column:
+        return F.concat(F.col(c).cast("string"), F.lit(" ("), shown(f"{c}_percent"), F.lit(")")).alias(c)
+
+    return s.select("table", "total", line("completed"), line("pending"), F.when(F.col("missing_text") > 0, F.col("missing_text")).alias("missing_text"))
+
+
 def status(tables: dict[str, DataFrame]) -> DataFrame:
     """table, total, completed, pending, completed_percent, pending_percent and missing_text of every table: one pass
     over each. A row may be completed and lack text, so the last column overlaps the others."""

@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a block, of sources and of candidates.
-SOURCES, CANDIDATES = 2048, 8192
+#: Rows of a block, of sources and of candidates: a matrix of all its scores is 16 MB.
+SOURCES, CANDIDATES = 1024, 2048
 
 
 def dense(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -60,10 +60,17 @@ def sparse_products(a: pa.Array, b: pa.Array) -> np.ndarray:
     return out
 
 
-def best(score: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
-    """Positions of the best scores, ties by id; NaN is the largest, as in a database."""
-    order = np.lexsort((ids, -np.where(np.isnan(score), np.inf, score), ~np.isnan(score)))
-    return order[:most]
+def best(score: np.ndarray, passed: np.ndarray, ids: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each row's best passed scores in order, ties by the columns' ids; NaN is the largest, as in a
+    database."""
+    key = np.where(passed, np.where(np.isnan(score), np.inf, score), -np.inf)
+    few = key.shape[1] > most
+    least = np.partition(key, key.shape[1] - most, 1)[:, [key.shape[1] - most]] if few else np.full((len(key), 1), -np.inf)
+    r, c = np.nonzero(passed & (key >= least))
+    order = np.lexsort((ids[c], -key[r, c], ~np.isnan(score[r, c]), r))
+    r, c = r[order], c[order]
+    place = np.arange(len(r)) - np.searchsorted(r, r)
+    return r[place < most], c[place < most]
 
 
 def against(sources: DataFrame, candidates: DataFrame, kernel: Callable[[pa.Table, pa.Table], pa.Table], schema: str, n_sources: int, n_candidates: int) -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from heddle.functions import sparse, vector
 from heddle.operators import kernel
@@ -69,55 +70,66 @@ def scores(a: str, b: str, w: Weights = Weights()) -> dict[str, Column]:
     return {"problem_score": problem, "capability_score": capability, "final_score": F.lit(w.problem) * problem + F.lit(w.capability) * capability}
 
 
+def _final(a: pa.Table, b: pa.Table, w: Weights) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """The scores of all pairs of two blocks by space, the final ones, and which pairs reach the floor."""
+    total = {}
+    for name, dense, words in (("problem", w.problem_dense, w.problem_sparse), ("capability", w.capability_dense, w.capability_sparse)):
+        x, y = (kernel.normalized(kernel.dense(t.column(f"{name}_dense")), np.nan) for t in (a, b))
+        if x.shape[1] != y.shape[1]:
+            raise ValueError("vectors of different lengths")
+        total[name] = dense * (x @ y.T) + words * w.sign * kernel.sparse_products(a.column(f"{name}_sparse"), b.column(f"{name}_sparse"))
+    # NaN is above any floor, as in a database
+    return total, w.problem * total["problem"] + w.capability * total["capability"], ~(total["problem"] < w.floor)
+
+
+def _sides(sources: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame, str]:
+    left = usable_sources(sources).select("id", *VECTORS)
+    return left, usable_candidates(candidates).select("id", *VECTORS), left.schema["id"].dataType.simpleString()
+
+
 def search(sources: DataFrame, candidates: DataFrame, most: int = 50, w: Weights = Weights()) -> DataFrame:
     """source_id, candidate_id, the three scores, and rank: the best candidates of every source whose problem score
     reaches the floor, ties by candidate id.
 
     Both frames have ``id`` and the four vectors. Only these five columns are read.
     """
-    left = usable_sources(sources).select("id", *VECTORS)
-    right = usable_candidates(candidates).select("id", *VECTORS)
-    id_type = left.schema["id"].dataType.simpleString()
+    left, right, id_type = _sides(sources, candidates)
+    made = [("source_id", to_arrow_type(left.schema["id"].dataType)), ("candidate_id", to_arrow_type(right.schema["id"].dataType)), *((s, pa.float64()) for s in SCORES)]
 
     def block(a: pa.Table, b: pa.Table) -> pa.Table:
-        rows: list[pa.Table] = []
-        if a.num_rows and b.num_rows:
-            total = {}
-            for name, dense, words in (("problem", w.problem_dense, w.problem_sparse), ("capability", w.capability_dense, w.capability_sparse)):
-                x, y = (kernel.normalized(kernel.dense(t.column(f"{name}_dense")), np.nan) for t in (a, b))
-                if x.shape[1] != y.shape[1]:
-                    raise ValueError("vectors of different lengths")
-                total[name] = dense * (x @ y.T) + words * w.sign * kernel.sparse_products(a.column(f"{name}_sparse"), b.column(f"{name}_sparse"))
-            final = w.problem * total["problem"] + w.capability * total["capability"]
-            # NaN is above any floor, as in a database
-            passed = ~(total["problem"] < w.floor)
-            ids = np.argsort(np.argsort(np.asarray(b.column("id").combine_chunks().to_pylist(), object), kind="stable"), kind="stable")
-            mine = a.column("id").combine_chunks()
-            for i in range(a.num_rows):
-                at = np.flatnonzero(passed[i])
-                at = at[kernel.best(final[i, at], ids[at], most)]
-                if len(at):
-                    rows.append(
-                        pa.table(
-                            {
-                                "source_id": pa.array([mine[i].as_py()] * len(at), mine.type),
-                                "candidate_id": b.column("id").combine_chunks().take(pa.array(at)),
-                                "problem_score": total["problem"][i, at],
-                                "capability_score": total["capability"][i, at],
-                                "final_score": final[i, at],
-                            }
-                        )
-                    )
-        if rows:
-            return pa.concat_tables(rows)
-        key = a.schema.field("id").type
-        return pa.table({c: pa.array([], t) for c, t in (("source_id", key), ("candidate_id", key), *((s, pa.float64()) for s in SCORES))})
-
-    schema = f"source_id {id_type}, candidate_id {id_type}, problem_score double, capability_score double, final_score double"
+        if not (a.num_rows and b.num_rows):
+            return pa.table({c: pa.array([], t) for c, t in made})
+        mine, theirs = (t.column("id").combine_chunks() for t in (a, b))
+        total, final, passed = _final(a, b, w)
+        ids = np.argsort(np.argsort(np.asarray(theirs.to_pylist(), object), kind="stable"), kind="stable")
+        r, c = kernel.best(final, passed, ids, most)
+        values = [x[r, c] for x in (total["problem"], total["capability"], final)]
+        return pa.table({"source_id": mine.take(pa.array(r)), "candidate_id": theirs.take(pa.array(c)), **dict(zip(SCORES, values, strict=True))})
+
+    schema = f"source_id {id_type}, candidate_id {right.schema['id'].dataType.simpleString()}, problem_score double, capability_score double, final_score double"
     found = kernel.against(left, right, block, schema, left.count(), right.count())
     return ranked(found, most)
 
 
+def passing(sources: DataFrame, candidates: DataFrame, w: Weights = Weights()) -> DataFrame:
+    """source_id, passed and best: how many candidates reach the floor for every source that any does, and the best
+    final score. A block gives one row a source, not its pairs."""
+    left, right, id_type = _sides(sources, candidates)
+    made = [("source_id", to_arrow_type(left.schema["id"].dataType)), ("passed", pa.int64()), ("best", pa.float64())]
+
+    def block(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not (a.num_rows and b.num_rows):
+            return pa.table({c: pa.array([], t) for c, t in made})
+        _, final, passed = _final(a, b, w)
+        n = passed.sum(1)
+        at = np.flatnonzero(n)
+        most = np.where(passed, final, -np.inf).max(1)[at]  # NaN, the largest, stays NaN
+        return pa.table({"source_id": a.column("id").combine_chunks().take(pa.array(at)), "passed": n[at], "best": most})
+
+    found = kernel.against(left, right, block, f"source_id {id_type}, passed bigint, best double", left.count(), right.count())
+    return found.groupBy("source_id").agg(F.sum("passed").alias("passed"), F.max("best").alias("best"))
+
+
 def search_by_expressions(sources: DataFrame, candidates: DataFrame, most: int = 50, w: Weights = Weights()) -> DataFrame:
     """The same by JVM expressions over all pairs: for small sides, and as a check of the kernel."""
     s = scores("s", "c", w)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import pyspark
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.functions import vector
@@ -31,6 +32,16 @@ class Settings:
     embed_batch: int = 16
     rerank_batch: int = 16
 
+    @classmethod
+    def of(cls, spark: SparkSession) -> Settings:
+        """Settings by the session's ``spark.heddle.<name>``, or else the environment's HEDDLE_<NAME>, or else the defaults."""
+        found = {}
+        for f in fields(cls):
+            value = spark.conf.get(f"spark.heddle.{f.name}", None) or os.environ.get(f"HEDDLE_{f.name.upper()}")
+            if value:
+                found[f.name] = type(f.default)(value)
+        return cls(**found)
+
     @property
     def half_precision(self) -> bool:
         return "cuda" in self.device.strip().lower()
@@ -40,11 +51,13 @@ def engine_info(settings: Settings = Settings()) -> dict[str, object]:
     return {"status": "ok", "device": settings.device, "fp16": settings.half_precision, "embed_model": settings.embed_model, "rerank_model": settings.rerank_model, "spark": pyspark.__version__}
 
 
-def embed(texts: DataFrame, column: str = "text", normalize: bool = True, return_sparse: bool = False, make: Callable[[], Encoder] = HashEncoder) -> DataFrame:
-    """texts with ``dense`` (at length 1 if asked), ``dim`` and, if asked, ``sparse``. At least one text is needed."""
+def embed(texts: DataFrame, column: str = "text", normalize: bool = True, return_sparse: bool = False, make: Callable[[], Encoder] = HashEncoder, settings: Settings | None = None) -> DataFrame:
+    """texts with ``dense`` (at length 1 if asked), ``dim`` and, if asked, ``sparse``. At least one text is needed. Texts
+    are capped only where sparse vectors are asked for; else the model gets them whole."""
+    s = settings or Settings.of(texts.sparkSession)
     if texts.isEmpty():
         raise InvalidRequest("at least one text is needed")
-    out = embed_table(texts, column, make)
+    out = embed_table(texts, column, make, cap=return_sparse, most=s.max_chars, size=s.embed_batch)
     if normalize:
         out = out.withColumn("dense", vector.l2_normalize("dense"))
     out = out.withColumn("dim", F.size("dense"))
@@ -65,8 +78,8 @@ def semantic_match(job: object, cv: object, responsibilities: DataFrame, experie
     return matching.report(pair, responsibilities, experiences)
 
 
-def find_top_candidates(kind: str, key: object, jobs: DataFrame, cvs: DataFrame, retrieve_top_n: int | None = None, rerank_top_k: int | None = None, top_k: int | None = None, make: Callable[[], Reranker] = OverlapReranker) -> DataFrame:
-    """The ranked other side of one job or CV, in one row of counts and items (none if nothing passes the floor).
+def find_top_candidates(kind: str, key: object, jobs: DataFrame, cvs: DataFrame, retrieve_top_n: int | None = None, rerank_top_k: int | None = None, top_k: int | None = None, make: Callable[[], Reranker] = OverlapReranker, settings: Settings | None = None) -> DataFrame:
+    """The ranked other side of one job or CV, in one row of counts and items (0 and none if nothing passes the floor).
 
     Raises InvalidRequest for another kind, no key, or a limit outside of 1 to 200; NotFound for a source that is
     missing, lacks a dense vector, or has no problem text.
@@ -85,16 +98,18 @@ def find_top_candidates(kind: str, key: object, jobs: DataFrame, cvs: DataFrame,
         raise NotFound(f"{kind} {key} is missing or lacks vectors")
     if source.where(F.coalesce("problem_text", F.lit("")) != "").isEmpty():
         raise NotFound(f"{kind} {key} has no problem text")
+    s = settings or Settings.of(own.sparkSession)
     found = retrieval.search(source, other, n)
-    ranked = reranking.rerank(found, source, other, k, make)
-    return reranking.results(found, ranked)
+    ranked = reranking.rerank(found, source, other, k, make, s.max_chars, s.rerank_batch)
+    return reranking.results(found, ranked, source)
 
 
-def hybrid_search(sources: DataFrame, candidates: DataFrame, retrieve_top_n: int | None = None, rerank_top_k: int | None = None, make: Callable[[], Reranker] = OverlapReranker) -> DataFrame:
-    """The same for all rows of sources at once."""
+def hybrid_search(sources: DataFrame, candidates: DataFrame, retrieve_top_n: int | None = None, rerank_top_k: int | None = None, make: Callable[[], Reranker] = OverlapReranker, settings: Settings | None = None) -> DataFrame:
+    """The same for all rows of sources at once that can be searched with."""
     n, k = retrieval.limits(retrieve_top_n, rerank_top_k)
+    s = settings or Settings.of(sources.sparkSession)
     found = retrieval.search(sources, candidates, n)
-    return reranking.results(found, reranking.rerank(found, sources, candidates, k, make))
+    return reranking.results(found, reranking.rerank(found, sources, candidates, k, make, s.max_chars, s.rerank_batch), retrieval.usable_sources(sources))
 
 
 def explain_skills(df: DataFrame, required: str, owned: str) -> DataFrame:

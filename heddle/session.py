@@ -7,6 +7,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of an Arrow batch, where the session has Spark's own default: rows hold whole texts.
+BATCH, _DEFAULT = "4000", "10000"
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
@@ -25,7 +27,8 @@ def local_session(app: str = "heddle", cpus: str | int = "*", shuffle: int = 8)
 
 
 def attach(spark: SparkSession) -> SparkSession:
-    """Lets Python workers started for this session import the package from the driver's checkout.
+    """Lets Python workers started for this session import the package from the driver's checkout, and bounds Arrow
+    batches.
 
     A deployment that ships the package with ``--py-files`` needs nothing here; the entry is then redundant.
     """
@@ -33,6 +36,8 @@ def attach(spark: SparkSession) -> SparkSession:
     known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in known:
         env["PYTHONPATH"] = os.pathsep.join([*known, ROOT])
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == _DEFAULT:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
     return spark
 
 

@@ -43,6 +43,10 @@ def test_parse_dense(spark, text, want):
         ("{1,2:3}/30522", [2], [3.0]),
         ('{"indices":[3],"values":[0.25]}', [3], [0.25]),
         ('{"indices":[3', [], []),
+        ('{"indices":["3"," 4"],"values":["0.25",1]}', [3, 4], [0.25, 1.0]),
+        ('{"indices":[3]}', [3], []),
+        ('{"values":[3]}', [], [3.0]),
+        ('{"indices":["x"],"values":[3]}', [], []),
         ("", [], []),
     ],
 )

@@ -126,6 +126,61 @@ def test_stream_reads_each_row_once(spark, tmp_path):
     assert spark.read.parquet(paths[1]).count() == backfill.pending(rows).count()
 
 
+def test_chunk_stream(spark, tmp_path):
+    rows = fixtures.chunk_backlog(spark, DATA).withColumn("id", F.col("id").cast("string"))
+    rows.write.parquet(str(tmp_path / "in"))
+    paths = [str(tmp_path / x) for x in ("in", "updates", "rejected", "checkpoint")]
+    for _ in range(2):
+        stream.start_chunks(spark, paths[0], rows.schema, *paths[1:]).awaitTermination()
+    assert spark.read.parquet(paths[1]).count() == backfill.pending_chunks(rows).count()
+
+
+def test_a_failing_table_leaves_the_others(spark, tmp_path):
+    good = fixtures.backlog(spark, DATA)
+    done = backfill.run_all({"jobs": good, "broken": good.drop("title"), "cvs": good.limit(0)}, str(tmp_path))
+    assert done["jobs"] == {"processed": backfill.pending(good).count(), "error": None} and done["cvs"]["processed"] == 0
+    assert done["broken"]["processed"] == 0 and "title" in done["broken"]["error"]
+    assert done["total"]["processed"] == done["jobs"]["processed"]
+    assert spark.read.parquet(str(tmp_path / "jobs")).count() == good.count()
+
+
+def test_nothing_passes_the_floor(spark):
+    texts = fixtures.texts(spark, DATA)
+    jobs, cvs = (f(spark, DATA).join(texts, "id", "left") for f in (fixtures.jobs, fixtures.cvs))
+    (row,) = api.find_top_candidates("job", 4, jobs, cvs.limit(0)).collect()
+    assert (row["total_retrieved"], row["total_reranked"], row["items"]) == (0, 0, [])
+
+
+def test_settings(spark, monkeypatch):
+    assert api.Settings.of(spark) == api.Settings()
+    monkeypatch.setenv("HEDDLE_EMBED_BATCH", "3")
+    spark.conf.set("spark.heddle.max_chars", "4")
+    try:
+        s = api.Settings.of(spark)
+        assert (s.embed_batch, s.max_chars) == (3, 4)
+        df = spark.createDataFrame([("abcd efgh",)], "text string")
+        whole, capped = (api.embed(df, normalize=False, return_sparse=x).first()["dense"] for x in (False, True))
+        assert sum(map(abs, whole)) == 2 and sum(map(abs, capped)) == 1
+    finally:
+        spark.conf.unset("spark.heddle.max_chars")
+
+
+def test_best_of_a_block():
+    import numpy as np
+
+    from heddle.operators import kernel
+
+    rng = np.random.default_rng(1)
+    for most in (1, 3, 50):
+        score = rng.integers(0, 5, (20, 30)).astype(float)
+        score[rng.random(score.shape) < 0.1] = np.nan
+        passed, ids = rng.random(score.shape) < 0.6, rng.permutation(30)
+        r, c = kernel.best(score, passed, ids, most)
+        for i in range(20):
+            want = sorted(np.flatnonzero(passed[i]).tolist(), key=lambda j: (not np.isnan(score[i, j]), -score[i, j] if score[i, j] == score[i, j] else 0, ids[j]))[:most]
+            assert c[r == i].tolist() == want
+
+
 def test_status_of_an_empty_table(spark):
     row = backfill.status({"none": spark.createDataFrame([], tables.PARENT)}).first()
     assert (row["total"], row["completed_percent"], row["pending_percent"]) == (0, 0.0, 0.0)

@@ -114,6 +114,14 @@ def _templates() -> str:
     return ", ".join(rows)
 
 
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_EIGHT = " || ' ' || ".join(["word", *(f"lead(word, {i}) OVER (PARTITION BY id ORDER BY k)" for i in range(1, quality.WINDOW))])
+
+
+def _words(text: str) -> str:
+    return f"list_filter(regexp_split_to_array({text}, '{_SEPARATORS}'), lambda x: x <> '')"
+
+
 _LABELS = "coalesce(string_agg(DISTINCT label, ',' ORDER BY label)"
 
 _SQL = {
@@ -159,6 +167,22 @@ SELECT doc_id, size, source_size, target, coalesce(taken, 0)::bigint AS taken, f
 s AS (SELECT a.vec_id query_id, b.vec_id, list_inner_product(a.v, b.v)::bigint score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
 r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::integer AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op6_quality": rf"""WITH l AS (SELECT row_number() OVER () id, doc_id, source, text, coalesce(text, '') t FROM documents),
+d AS (SELECT *, {_words("t")} w, array_to_string({_words(f"translate(t, {_LOWER})")}, ' ') digest, string_split(t, chr(10)) lines FROM l),
+u AS (SELECT id, unnest(w) word, generate_subscripts(w, 1) k FROM d),
+g AS (SELECT id, k, {_EIGHT} g FROM u),
+r AS (SELECT id, k, count(*) OVER (PARTITION BY id, g) n FROM g WHERE g IS NOT NULL),
+c AS (SELECT id, count(DISTINCT p) n_repeat_words FROM (SELECT id, unnest(range(k, k + {quality.WINDOW})) p FROM r WHERE n > 1) GROUP BY id),
+s AS (SELECT id, source, digest, unnest(lines) line, generate_subscripts(lines, 1) k FROM d),
+y AS (SELECT id, source, digest, k, line, array_to_string({_words(f"translate(line, {_LOWER})")}, ' ') norm, len({_words("line")}) n FROM s),
+h AS (SELECT source, count(DISTINCT digest) docs FROM d GROUP BY source),
+a AS (SELECT source, norm, count(DISTINCT digest) held FROM y WHERE n > 0 GROUP BY source, norm),
+b AS (SELECT a.source, norm FROM a JOIN h ON a.source IS NOT DISTINCT FROM h.source WHERE held >= {quality.LINE_DOCS} AND held >= docs * {quality.LINE_SHARE}::double),
+z AS (SELECT y.*, b.norm IS NOT NULL gone FROM y LEFT JOIN b ON n > 0 AND y.norm = b.norm AND y.source IS NOT DISTINCT FROM b.source),
+q AS (SELECT id, coalesce(sum(n) FILTER (gone), 0)::bigint removed_words, count(*) FILTER (n > 0) - count(DISTINCT line) FILTER (n > 0) n_dup_lines, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '') kept_text FROM z GROUP BY id),
+m AS (SELECT doc_id, text, kept_text, removed_words, len(w)::bigint n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::bigint n_symbols, n_dup_lines, coalesce(n_repeat_words, 0) n_repeat_words FROM d JOIN q USING (id) LEFT JOIN c USING (id)),
+f AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.REPEAT_PERCENT} * n_words base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND n_words - removed_words >= n_words * {quality.KEPT_SHARE}::double AS kept, removed_words, CASE WHEN text IS NOT NULL THEN sha256(kept_text) END AS kept_sha256 FROM f""",
     "op7_substrings": f"""WITH l AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{_SEPARATORS}'), lambda x: x <> '') w FROM documents),
 u AS (SELECT doc_id, unnest(w) word, generate_subscripts(w, 1) k FROM l),
 g AS (SELECT doc_id, k, {_NEXT} g FROM u),

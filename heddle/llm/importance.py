@@ -11,9 +11,10 @@ all texts and the weights cover every document.
 Scale: the models are two arrays of BUCKETS counts, summed on executors. The largest keys are found by counting keys
 in bins of fixed width; only the one bin where the number is reached is ordered.
 
-Edge cases: a null text, or one without words, has no n-grams and weight 0 before noise; a null id gets noise like
-any other; rows repeating an id have equal noise, and ties are ordered by id; without a target all weights are 0; an
-empty table gives an empty result.
+Edge cases: a null text, or one without words, has no n-grams and weight 0 before noise; all rows without an id have
+the same noise, as have rows that repeat an id, so those of equal text have equal keys; ties are ordered by id; a very
+long text counts whole; further columns are left out, whatever their names; without a target all weights are 0; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations

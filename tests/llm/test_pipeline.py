@@ -108,6 +108,32 @@ def test_edges(spark, tmp_path):
     assert sorted(seen[1], key=key) == sorted(seen[2], key=key) == [1, 4, 4, None]
 
 
+def test_verdicts_go_by_row_not_by_id(spark):
+    """Rows that share an id, or have none, are kept or go by their own text."""
+    rng = random.Random(2)
+    a, b, c, d = (" ".join(rng.choices([f"w{i}" for i in range(500)], k=90)) for _ in range(4))
+    rows = [(2, a), (9, a), (9, b), (None, a), (None, c), (None, c + " x"), (None, d), (None, d)] + [(None, d)] * 40
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], SCHEMA).repartition(4)
+    got = corpus_pipeline.near_duplicates(spark, docs, DATA).collect()
+    assert all(tuple(r)[2:] == ("en", "a", len(r["text"])) for r in got)
+    kept = sorted((r["doc_id"] or 0, r["text"][:200]) for r in got)
+    assert len(kept) == 4 and kept[2:] == [(2, a[:200]), (9, b[:200])]
+    assert {t for i, t in kept if i == 0} == {c[:200], d[:200]}
+
+
+def test_the_mix_follows_the_schedule(spark, tmp_path):
+    """Rows stand in the order of the slots that take them, so sources alternate by their weights."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choices("abcdefgh", k=20)), "en", "abc"[i % 3], 40) for i in range(300)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    corpus_pipeline.mixed_sources(spark, docs, DATA).write.parquet(str(tmp_path / "mix"))
+    parts = sorted((tmp_path / "mix").glob("part-*"))
+    found = [r["source"] for p in parts for r in spark.read.parquet(str(p)).collect()]
+    share = {s: found.count(s) / len(found) for s in "abc"}
+    for at in range(0, len(found) - 60, 60):
+        assert all(abs(found[at : at + 60].count(s) / 60 - share[s]) < 0.12 for s in "abc")
+
+
 def test_empty(spark, tmp_path):
     docs = spark.createDataFrame([], SCHEMA)
     for name, stage in corpus_pipeline.STAGES:

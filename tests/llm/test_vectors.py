@@ -13,11 +13,11 @@ DATA = "/root/testdata/sf0.001"
 
 
 def brute(rows, asked, k):
-    good = [(i, np.floor(256 * np.array(v, dtype=float)).astype(int)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    good = [(i, [int(x) for x in np.floor(256 * np.array(v, dtype=float))]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     out = []
     for q, v in ((i, v) for i, v in good if i in asked):
-        best = sorted((-int(v @ w), i) for i, w in good if i != q and len(w) == len(v))[:k]
-        out += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+        best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in good if i != q and len(w) == len(v))[:k]
+        out += [(q, n, i, max(-kdtree.LONG, min(kdtree.LONG, -s))) for n, (s, i) in enumerate(best, 1)]
     return sorted(out)
 
 
@@ -46,6 +46,36 @@ def test_repeated_ids(spark):
     assert got == [(50, 1, 51, 256 * 128)] * 2
 
 
+def test_large_components_and_extra_columns(spark, monkeypatch):
+    monkeypatch.setattr(kdtree, "SHARD", 5)
+    rng = random.Random(4)
+    rows = [(i, [rng.choice((1e9, -1e18, 1e30, 2.0**53 + 2, -0.3, 7.5)), rng.uniform(-1, 1) * 10.0 ** rng.randint(0, 40)]) for i in range(60)]
+    rows += [(70, [1e30, 1.0]), (71, [1e30, 1.0]), (72, [1e308, 1.0])]
+    df = spark.createDataFrame([(i, v, 1, 2, "x", 3) for i, v in rows], "vec_id long, embedding array<double>, v int, region int, row string, query int")
+    got = sorted(map(tuple, kdtree.topk(df, df.where("vec_id % 10 = 0"), Scratch(spark, "t"), 5).collect()))
+    rows = [r for r in rows if r[0] != 72]
+    assert got == brute(rows, {i for i, _ in rows if i % 10 == 0}, 5)
+    assert any(abs(s) == kdtree.LONG for *_, s in got)
+
+
+@pytest.mark.parametrize("common", [0, 3])
+def test_regions_cover_all_and_spare_shards(spark, monkeypatch, common):
+    """Clustered vectors are found without sending queries to every shard; a third may be equal."""
+    monkeypatch.setattr(kdtree, "SHARD", 50)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(8, 6))
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+    v = np.repeat(centres, 75, 0) + rng.normal(size=(600, 6)) * 0.01
+    rows = [(i, (centres[0] if common and i % common == 0 else x).tolist()) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    scratch = Scratch(spark, "t")
+    got = sorted(map(tuple, kdtree.topk(df, df.where("vec_id % 20 = 0"), scratch, 5).collect()))
+    assert got == brute(rows, {i for i, _ in rows if i % 20 == 0}, 5)
+    shards = spark.read.parquet(scratch.at("boxes")).agg(F.sum("shards")).first()[0]
+    sent = spark.read.parquet(scratch.at("far")).count()
+    assert shards >= 12 and sent < 30 * (shards - 1) / 2
+
+
 def test_tree_prunes_and_is_exact():
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(20, 4)) * 400
@@ -53,7 +83,7 @@ def test_tree_prunes_and_is_exact():
     tree = kdtree.Tree(v, np.arange(4000))
     assert (tree.low[0] == v.min(0)).all() and (tree.high[0] == v.max(0)).all()
     for q in v[::400]:
-        best = tree.search(q, tree.bounds(q[None])[0], -1, 5, float("-inf"))
+        best = tree.search(q, kdtree.bounds(tree.low, tree.high, q[None])[0], -1, 5, float("-inf"))
         assert sorted(s for s, _ in best) == sorted((v @ q).astype(int).tolist())[-5:]
 
 

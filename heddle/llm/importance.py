@@ -9,11 +9,12 @@ The target is a bounded sample of labelled documents: the SAMPLE first good ones
 all texts and the weights cover every document.
 
 Scale: the models are two arrays of BUCKETS counts, summed on executors. The largest keys are found by counting keys
-in bins of fixed width; only the one bin where the number is reached is ordered.
+in bins of fixed width; only the one bin where the number is reached is ordered, in ranges of some RANGE rows, which
+rows of one key and id are spread over as well.
 
 Edge cases: a null text, or one without words, has no n-grams and weight 0 before noise; all rows without an id have
-the same noise, as have rows that repeat an id, so those of equal text have equal keys; ties are ordered by id; a very
-long text counts whole; further columns are left out, whatever their names; without a target all weights are 0; an empty
+the same noise, as have rows that repeat an id, so those of equal text have equal keys; ties are ordered by id, and
+of rows of one key and id as many are drawn as are wanted; a very long text counts whole; further columns are left out, whatever their names; without a target all weights are 0; an empty
 table gives an empty result.
 """
 
@@ -38,6 +39,8 @@ SCALE = 200.0
 SHARE = 0.8
 #: Keys are binned to 1 / FINE, between -LIMIT and LIMIT.
 FINE, LIMIT = 64, 4096
+#: Rows of the bin at the cut that are ordered in one task.
+RANGE = 1 << 20
 
 
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,14 +105,20 @@ def resample(docs: DataFrame, good: DataFrame, scratch: Scratch, share: float =
     ratio = log_ratio(*counts(marked))
     uniform = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
     keyed = weights(docs, ratio, ["doc_id"]).withColumn("key", F.col("weight") - F.log(-F.log(uniform)))
-    keyed = scratch.put(keyed.withColumn("bin", F.floor(F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), F.col("key"))) * FINE)), "keyed")
+    clipped = F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), F.col("key")))
+    keyed = scratch.put(keyed.select("*", F.floor(clipped * FINE).alias("bin"), F.monotonically_increasing_id().alias("row")), "keyed")
     wanted = round(keyed.count() * share)
     bins = keyed.groupBy("bin").agg(F.count("*").alias("n"))
     above = bins.withColumn("above", F.sum("n").over(Window.orderBy(F.col("bin").desc())) - F.col("n"))  # 2 * LIMIT * FINE bins
     cut = above.where(F.col("above") < wanted).orderBy("bin").limit(1).collect()  # one row
     if not cut:
         return keyed.select("doc_id", "weight", "key", F.lit(False).alias("kept"))
-    at, before = cut[0]["bin"], cut[0]["above"]
-    inside = keyed.where(F.col("bin") == at).withColumn("place", F.row_number().over(Window.partitionBy("bin").orderBy(F.col("key").desc(), "doc_id")))
-    some = inside.select("doc_id", "weight", "key", (F.col("place") <= wanted - before).alias("kept"))
+    at, before, inside = cut[0]["bin"], cut[0]["above"], cut[0]["n"]
+    order = [F.col("key").desc(), F.col("doc_id"), F.col("row")]
+    ranges = keyed.where(F.col("bin") == at).repartitionByRange(-(-inside // RANGE), *order).withColumn("range", F.spark_partition_id())
+    ranges = scratch.put(ranges, "ranges")
+    sizes = ranges.groupBy("range").agg(F.count("*").alias("size"))
+    starts = sizes.select("range", (F.sum("size").over(Window.orderBy("range")) - F.col("size")).alias("start"))  # a row a range
+    placed = ranges.join(starts, "range").withColumn("place", F.col("start") + F.row_number().over(Window.partitionBy("range").orderBy(*order)))
+    some = placed.select("doc_id", "weight", "key", (F.col("place") <= wanted - before).alias("kept"))
     return some.union(keyed.where(F.col("bin") != at).select("doc_id", "weight", "key", (F.col("bin") > at).alias("kept")))

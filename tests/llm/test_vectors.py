@@ -1,9 +1,13 @@
 """Exact top-k and importance resampling."""
 
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from heddle.llm import importance, kdtree, queries
@@ -111,6 +115,55 @@ def test_importance_edges(spark):
     assert all(r["kept"] for r in importance.resample(df, good, Scratch(spark, "t"), 1.0).collect())
 
 
+def plain_resample(rows, good, share, seed):
+    """(doc_id, weight, key) and the number drawn, by dictionaries."""
+
+    def grams(text):
+        w = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x) for x in re.split(r"[\x20\x09-\x0D]+", text or "") if x]
+        return w + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
+
+    def bucket(gram):
+        data = np.frombuffer(gram.encode(), np.uint8)
+        return int(importance.grams(data, np.array([0, len(data)]))[0][-1])  # of the pair, if it is one
+
+    target, raw = Counter(), Counter()
+    for i, text in rows:
+        found = Counter(map(bucket, grams(text)))
+        raw += found
+        if i in good:
+            target += found
+    smooth = {b: 1 + raw[b] / max(sum(raw.values()), 1) * importance.BUCKETS for b in range(importance.BUCKETS)}
+    t, r = sum(target.values()) + sum(smooth.values()), sum(raw.values()) + importance.BUCKETS
+    ratio = {b: math.log((target[b] + smooth[b]) / t) - math.log((raw[b] + 1) / r) if target else 0 for b in smooth}
+    out = []
+    for i, text in rows:
+        found = grams(text)
+        weight = sum(ratio[bucket(g)] for g in found) / max(len(found), 1) * importance.SCALE
+        start = 42 if i is None else xxhash.xxh64_intdigest(i.to_bytes(8, "little", signed=True), 42)
+        h = xxhash.xxh64_intdigest(seed.to_bytes(4, "little"), start)
+        u = (h % (1 << 30) + 0.5) / (1 << 30)
+        out.append((i, weight, weight - math.log(-math.log(u))))
+    return out, round(len(rows) * share)
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 3])
+def test_importance_is_the_plain_one(spark, monkeypatch, limit):
+    monkeypatch.setattr(importance, "RANGE", limit)
+    rng = random.Random(3)
+    words = ["Alpha", "beta", "gamma", "dELTA", "épsilon", "zeta9", "eta,"]
+    rows = [(i, " ".join(rng.choice(words[: 3 + i % 5]) for _ in range(rng.randint(0, 30)))) for i in range(120)]
+    rows += [(None, "beta gamma")] * 60 + [(500, None), (501, " \t"), (502, "beta " * 5000)]
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, bin int, row string")
+    good = set(range(0, 120, 5))
+    for share in (0.2, 0.5, 0.8):
+        want, n = plain_resample(rows, good, share, 7)
+        got = importance.resample(df, spark.createDataFrame([(i,) for i in good], "doc_id long"), Scratch(spark, "t"), share, 7).collect()
+        order = lambda r: (r[0] is None, r[0] or 0, r[1])
+        assert [(r["doc_id"], r["weight"], r["key"]) for r in sorted(got, key=order)] == [(i, pytest.approx(w), pytest.approx(x)) for i, w, x in sorted(want, key=order)]
+        first = sorted(want, key=lambda r: (-round(r[2], 6), r[0] is not None, r[0] or 0))[:n]
+        assert Counter(r["doc_id"] for r in got if r["kept"]) == Counter(i for i, *_ in first)
+
+
 def test_noise_draws_by_weight(spark):
     n = 4000
     df = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"))

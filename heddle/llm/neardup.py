@@ -4,9 +4,11 @@ A document's set holds the hashes of its runs of ``k`` words (lower-cased A-Z);
 sequence is one. Documents with equal sets are one class at once. Each class has ``TREES * DEPTH`` min-hashes,
 in blocks of DEPTH; tree t sorts the classes by the signature that begins at block t. In that order, classes
 whose common prefix is at least DEPTH hashes long form a region; they are compared by a sketch of 128 bits of
-other min-hashes, all with all in a small region, and in a large one with the neighbours in windows of REGION
+other min-hashes, all with all in a small region, and in a large one first with the neighbours in windows of REGION
 rows, where the sorted order puts the longest common prefixes side by side: the depth adapts to the region.
-Pairs whose sketches are near enough only connect classes into units; a unit's links are then confirmed on the
+Pairs whose sketches are near enough only connect classes into units. A region that is large, or that a border of
+partitions cuts, and whose rows are then still in several units has all rows outside of its largest unit compared with
+all of its rows, block by block; so no pair is missed for its region's size. A unit's links are then confirmed on the
 full sets, made again from the texts, by a search that compares every reached class with all unreached ones.
 
 At a similarity of 0.85 a region of some tree holds a pair with probability 1 - (1 - 0.85^5)^24 = 1 - 8e-7, at 0.8
@@ -18,8 +20,8 @@ unit, block by block, so that every pair in different components is compared: th
 
 Scale: the trees are sorted by range over the whole key, so a group of near copies that holds a third of all rows
 is spread over many tasks; edges per region are a spanning forest, not pairs; classes absorb exact copies before
-anything else by an aggregation that combines on the map side; a large unit's last step costs as many blocks as
-the few classes outside of its largest component need. Texts are fetched by id and a hash of the text, so a third of
+anything else by an aggregation that combines on the map side; a large region's and a large unit's last step cost as
+many blocks as the few classes outside of their largest unit or component need. Texts are fetched by id and a hash of the text, so a third of
 all rows without an id spread like any others.
 
 Edge cases: a null text, or one without words, has an empty set, which links with nothing; a null id is no
@@ -43,6 +45,8 @@ from heddle.llm.textkit import LOWER, U64, Words, blocks, mix, window_hashes
 TREES, DEPTH = 24, 5
 #: Rows of a region that are compared all with all, and rows that its next window takes over from the last.
 REGION, OVERLAP = 512, 64
+#: Rows of a block of a region that is compared further, some more or less.
+BLOCK = 8192
 #: Classes, and their shingles in all, that one task confirms.
 UNIT, HELD = 4096, 4 << 20
 #: Bits of the sketch, and by how many standard deviations more of them may differ than in the mean.
@@ -112,11 +116,8 @@ def differing(percent: int) -> int:
     return int(BITS * p + DEVIATIONS * (BITS * p * (1 - p)) ** 0.5)
 
 
-def forest(classes: DataFrame, parts: int, differ: int) -> DataFrame:
-    """(a, b, region): for each region's window, edges of its classes to the first one they are connected with.
-
-    classes: cls, mins, bits. Rows with a equal to b are not given.
-    """
+def planted(classes: DataFrame) -> DataFrame:
+    """tree, prefix, rest (of the order), cls and bits: every class in every tree. classes: cls, mins, bits."""
 
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,46 +143,67 @@ def forest(classes: DataFrame, parts: int, differ: int) -> DataFrame:
                     names=["tree", "prefix", "rest", "cls", "bits"],
                 )
 
+    return classes.select("cls", "mins", "bits").mapInArrow(plant, "tree tinyint, prefix bigint, rest bigint, cls bigint, bits binary")
+
+
+def forest(classes: DataFrame, parts: int, differ: int) -> DataFrame:
+    """(a, b, region, tree): for each region's window, edges of its classes to the first one they are connected with.
+
+    For a region that a window or a partition may not hold whole, each such first one is given as well, as a row with
+    the region's prefix and tree and without b. Other rows have no tree. Rows with a equal to b are not given.
+    """
+
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []  # rows of the region that isn't complete yet
+        start, firsts = True, []
         for batch in batches:
             rows = np.empty(batch.num_rows, _ROW)
             for c in ("tree", "prefix", "cls"):
                 rows[c] = batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
-            rows["bits"] = np.frombuffer(b"".join(batch.column(batch.schema.get_field_index("bits")).to_pylist()), U64).reshape(-1, 2)
+            rows["bits"] = _bits(batch.column(batch.schema.get_field_index("bits")))
             rows = np.concatenate([*held, rows])
             cut = np.flatnonzero((rows["prefix"][1:] != rows["prefix"][:-1]) | (rows["tree"][1:] != rows["tree"][:-1])) + 1
             last = int(cut[-1]) if len(cut) else 0
-            yield from _edges(rows[:last], cut[:-1], differ)
+            yield from _edges(rows[:last], cut[:-1], differ, start, False, firsts)
+            start = start and not last
             tail = rows[last:]
             while len(tail) >= 2 * REGION:
-                yield from _edges(tail[:REGION], np.zeros(0, int), differ)
+                yield from _edges(tail[:REGION], np.zeros(0, int), differ, True, True, firsts)
                 tail = tail[REGION - OVERLAP :]
             held = [tail]
+            yield from _given(firsts)
         if held:
-            yield from _edges(held[0], np.zeros(0, int), differ)
+            yield from _edges(held[0], np.zeros(0, int), differ, True, True, firsts)
+            yield from _given(firsts)
+
+    ordered = planted(classes).repartitionByRange(parts, "tree", "prefix", "rest", "cls").sortWithinPartitions("tree", "prefix", "rest", "cls")
+    return ordered.mapInArrow(grow, "a bigint, b bigint, region bigint, tree tinyint")
+
 
-    rows = classes.select("cls", "mins", "bits").mapInArrow(plant, "tree tinyint, prefix bigint, rest bigint, cls bigint, bits binary")
-    ordered = rows.repartitionByRange(parts, "tree", "prefix", "rest", "cls").sortWithinPartitions("tree", "prefix", "rest", "cls")
-    return ordered.mapInArrow(grow, "a bigint, b bigint, region bigint")
+def _bits(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), U64).reshape(-1, 2)
 
 
 _ROW = np.dtype([("tree", np.int8), ("prefix", np.int64), ("cls", np.int64), ("bits", U64, (2,))])
 
 
-def _edges(rows: np.ndarray, cut: np.ndarray, differ: int) -> Iterator[pa.RecordBatch]:
-    """Edges within each region of complete regions' rows."""
-    if len(rows) < 2:
+def _edges(rows: np.ndarray, cut: np.ndarray, differ: int, start: bool = False, stop: bool = False, firsts: list[np.ndarray] | None = None) -> Iterator[pa.RecordBatch]:
+    """Edges within each region of complete regions' rows. firsts gets the rows that others of a window are connected
+    with, for large regions, and for the first or last if it may have rows elsewhere (start, stop)."""
+    if not len(rows):
         return
     begin, end = np.concatenate(([0], cut)), np.append(cut, len(rows))
+    wide = end - begin > REGION
+    wide[0] |= start
+    wide[-1] |= stop
     made: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    two = begin[end - begin == 2]
+    two = begin[(end - begin == 2) & ~wide]
     if len(two):
         x, y = rows[two], rows[two + 1]
         near = np.bitwise_count(x["bits"] ^ y["bits"]).sum(1) <= differ
         made.append((x["cls"][near], y["cls"][near], x["prefix"][near]))
-    for s, e in zip(begin.tolist(), end.tolist(), strict=True):
-        if e - s < 3:
+    for s, e, w in zip(begin.tolist(), end.tolist(), wide.tolist(), strict=True):
+        if e - s < 3 and not w:
             continue
         for i in range(s, max(s + 1, e - OVERLAP), REGION - OVERLAP):
             part = rows[i : min(i + REGION, e)]
@@ -195,13 +217,93 @@ def _edges(rows: np.ndarray, cut: np.ndarray, differ: int) -> Iterator[pa.Record
                     more = near[front].any(0) & (label < 0) & ~reached
                     reached, front = reached | more, more
                 label[reached] = v
-            other = np.flatnonzero(label != np.arange(len(part)))
+            own = label == np.arange(len(part))
+            other = np.flatnonzero(~own)
             if len(other):
                 made.append((part["cls"][other], part["cls"][label[other]], part["prefix"][other] + i - s))
+            if w and firsts is not None:
+                firsts.append(part[own])
     if made:
         a, b, region = (np.concatenate(x) for x in zip(*made, strict=True))
         two = a != b
-        yield pa.RecordBatch.from_arrays([pa.array(a[two]), pa.array(b[two]), pa.array(region[two])], names=["a", "b", "region"])
+        yield pa.RecordBatch.from_arrays([pa.array(a[two]), pa.array(b[two]), pa.array(region[two]), pa.nulls(int(two.sum()), pa.int8())], names=["a", "b", "region", "tree"])
+
+
+def _given(firsts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The rows of forest() for first ones, which are taken off the list."""
+    if firsts:
+        f = np.concatenate(firsts)
+        firsts.clear()
+        cls, prefix, tree = (pa.array(np.ascontiguousarray(f[c])) for c in ("cls", "prefix", "tree"))
+        yield pa.RecordBatch.from_arrays([cls, pa.nulls(len(f), pa.int64()), prefix, tree], names=["a", "b", "region", "tree"])
+
+
+def across(classes: DataFrame, near: DataFrame, units: DataFrame, differ: int, scratch: Scratch) -> DataFrame | None:
+    """(a, b, region): edges between different units (v, root) within the regions of which forest() gives the first
+    ones, a region being a block's. None if all of those are of one unit each."""
+
+    def of(df: DataFrame, cls: str) -> DataFrame:
+        return df.join(units, F.col(cls) == F.col("v"), "left").withColumn("unit", F.coalesce("root", cls))
+
+    firsts = near.where("tree is not null").select("tree", F.col("region").alias("prefix"), "a")
+    open_ = scratch.put(of(firsts, "a").groupBy("tree", "prefix").agg(F.min("unit").alias("x"), F.max("unit").alias("y")).where("x < y").select("tree", "prefix"), "open")
+    if open_.isEmpty():
+        return None
+    rows = scratch.put(of(planted(classes).join(open_, ["tree", "prefix"]), "cls").select("tree", "prefix", "cls", "bits", "unit"), "wide")
+    sizes = rows.groupBy("tree", "prefix", "unit").agg(F.count("*").alias("n"))
+    regions = sizes.groupBy("tree", "prefix").agg(F.max_by("unit", F.struct("n", "unit")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    regions = scratch.put(regions.select("tree", "prefix", "main", _parts(F.col("all") - F.col("most"), BLOCK).alias("rests"), _parts(F.col("all"), BLOCK).alias("alls")), "regions")
+    both = rows.join(regions, ["tree", "prefix"])
+    rest = both.where("unit != main").withColumn("i", _of("cls", F.col("rests"))).withColumn("j", F.explode(F.expr("sequence(0, alls - 1)")))
+    every = both.withColumn("j", _of("cls", F.col("alls"))).withColumn("i", F.explode(F.expr("sequence(0, rests - 1)")))
+    key = ("tree", "prefix", "i", "j")
+    sides = [x.select(*key, "cls", "bits", "unit", F.lit(y).alias("whole")) for x, y in ((rest, False), (every, True))]
+
+    def meet(block: pa.Table) -> pa.Table:
+        whole = block.column("whole").to_numpy(zero_copy_only=False).astype(bool)
+        bits, cls = _bits(block.column("bits")), block.column("cls").to_numpy()
+        _, unit = np.unique(block.column("unit").to_numpy(), return_inverse=True)
+        root = np.arange(unit.max(initial=-1) + 1)  # of each unit, by what this block has connected
+        here, there = np.flatnonzero(~whole), np.flatnonzero(whole)
+        made: list[tuple[int, int]] = []
+        for s in range(0, len(here), 64):
+            some = here[s : s + 64]
+            close = np.bitwise_count(bits[some][:, None, :] ^ bits[there][None, :, :]).sum(2) <= differ
+            for x, row in zip(some.tolist(), close, strict=True):
+                met = there[row]
+                apart = met[root[unit[met]] != root[unit[x]]]
+                while len(apart):
+                    made.append((int(cls[x]), int(cls[apart[0]])))
+                    root[root == root[unit[apart[0]]]] = root[unit[x]]
+                    apart = apart[root[unit[apart]] != root[unit[x]]]
+        a, b = (np.array([m[c] for m in made], np.int64) for c in (0, 1))
+        return pa.table({"a": a, "b": b, "region": np.full(len(a), _number(block), np.int64)})
+
+    return scratch.put(sides[0].union(sides[1]).groupBy(*key).applyInArrow(meet, "a bigint, b bigint, region bigint"), "met")
+
+
+def _number(block: pa.Table) -> int:
+    """A number for a block of a region."""
+    key = np.array([block.column(c)[0].as_py() for c in ("tree", "prefix", "i", "j")], np.int64).view(U64)
+    return int(window_hashes(key, 4)[:1].view(np.int64)[0])
+
+
+def gathered(classes: DataFrame, parts: int, differ: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(a, b, region), the edges between classes with sketches near enough, and (v, root), the units they make."""
+    near = scratch.put(forest(classes, parts, differ), "near")
+    edges = near.where("b is not null").select("a", "b", "region")
+    units = scratch.put(components(edges, scratch, "units"), "unit_of")
+    more = across(classes, near, units, differ, scratch)
+    if more is not None:
+        edges = edges.union(more)
+        # units that an edge has joined, by their roots; a class without an edge before is one of its own
+        of = [units.select(F.col("v").alias(c), F.col("root").alias(f"root_{c}")) for c in ("a", "b")]
+        joined = more.join(of[0], "a", "left").join(of[1], "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+        over = scratch.put(components(joined, scratch, "over"), "over_of").select(F.col("v").alias("old"), F.col("root").alias("new"))
+        before = units.join(over, F.col("root") == F.col("old"), "left").select("v", F.coalesce("new", "root").alias("root"))
+        alone = over.join(units, F.col("old") == F.col("v"), "left_anti").select(F.col("old").alias("v"), F.col("new").alias("root"))
+        units = scratch.put(before.union(alone), "units_of_all")
+    return edges, units
 
 
 def linked(sets_: list[np.ndarray], percent: int) -> np.ndarray:
@@ -307,8 +409,7 @@ def link(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 80, doc_i
     )
     classes = scratch.put(classes.withColumns({"least": F.col("rep.id"), "hash": F.col("rep.hash")}), "classes")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    near = scratch.put(forest(classes, parts, differing(percent)), "near")
-    units = scratch.put(components(near, scratch, "units"), "unit_of")
+    near, units = gathered(classes, parts, differing(percent), scratch)
     weight = F.greatest(F.col("n"), F.lit(HELD // UNIT))
     weighed = units.join(classes.select(F.col("cls").alias("v"), weight.alias("weight")), "v")
     sized = scratch.put(weighed.join(weighed.groupBy("root").agg(F.sum("weight").alias("held")), "root"), "sized")
@@ -354,7 +455,7 @@ def link(docs: DataFrame, scratch: Scratch, k: int = 5, percent: int = 80, doc_i
     of = classes.select("cls", "print1", "print2", "rep", "copies").join(roots, F.col("cls") == F.col("v"), "left").withColumn("root", F.coalesce("root", "cls"))
     groups = of.groupBy("root").agg(F.min("rep").alias("chosen"), F.sum("copies").alias("all"))
     known = scratch.put(of.join(groups.where("all > 1"), "root").select("print1", "print2", "chosen"), "known")
-    for name in ("near", "unit_of", "sized", "edges", "texts", "links1", "links2", "links3"):
+    for name in ("near", "unit_of", "open", "wide", "regions", "met", "over_of", "units_of_all", "sized", "edges", "texts", "links1", "links2", "links3"):
         scratch.drop(name)
     done = rows.select("id", "n", "print1", "print2", "row", "hash").join(known, ["print1", "print2"], "left")
     in_group = (F.col("n") > 0) & F.col("chosen").isNotNull()

@@ -299,6 +299,31 @@ def test_large_region_is_connected():
     assert len({find(i) for i in range(3000)}) == 1
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_large_region_is_compared_whole(spark, parts):
+    """Classes of one region whose partners stand far from them in every order, and beyond borders of partitions."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    n = 3000
+    mins = rng.integers(0, 1 << 32, (2 * n, neardup.TREES * neardup.DEPTH), dtype=np.uint64).astype(np.uint32)
+    mins[:, : neardup.DEPTH] = 1
+    bits = rng.integers(0, 1 << 63, (n, 2), dtype=np.uint64)
+    bits[: n // 2] = bits[0]  # one unit of half of all, pairs of the others
+    rows = [(i, bytearray(mins[i].tobytes()), bytearray(bits[i % n].tobytes())) for i in range(2 * n)]
+    classes = spark.createDataFrame(rows, "cls long, mins binary, bits binary")
+    scratch = Scratch(spark, "t")
+    few = neardup.forest(classes, parts, neardup.differing(85)).where("b is not null")
+    assert components.components(few, scratch, "few").count() < 2 * n
+    edges, units = neardup.gathered(classes, parts, neardup.differing(85), scratch)
+    assert edges.count() < 4 * n
+    root = dict(map(tuple, units.select("v", "root").collect()))
+    again = dict(map(tuple, components.components(edges, scratch, "again").collect()))
+    assert len(root) == 2 * n and set(root) == set(again)
+    assert len(set(root.values())) == len(set(again.values())) == 1 + n - n // 2
+    assert all(root[i] == root[i + n] for i in range(n)) and len({root[i] for i in range(n // 2)}) == 1
+
+
 def test_near_query(spark, docs):
     assert sorted(map(tuple, queries.op8_neardup(spark, DATA).collect())) == sorted(brute.near(docs, 3, 85))
     empty = spark.createDataFrame([], "doc_id long, text string")

@@ -105,12 +105,12 @@ _SEPARATORS = r"[\x20\x09-\x0D]+"
 _NEXT = " || ' ' || ".join(["word", *(f"lead(word, {i}) OVER (PARTITION BY doc_id ORDER BY k)" for i in range(1, 13))])
 
 def _templates() -> str:
-    """Rows (k, q, n, label, exact, gram) of the licence templates' grams, in words."""
+    """Rows (k, q, n, label, exact, share, gram) of the licence templates' grams, in words."""
     rows = []
     for k, t in enumerate(licenses.BASE + licenses.TEXTS):
         w = re.findall("[0-9a-z]+", t.text.lower())
         n = len(w) - licenses.GRAM + 1
-        rows += [f"({k}, {q}, {n}, '{t.label}', {t.exact}, '{' '.join(w[q : q + licenses.GRAM])}')" for q in range(n)]
+        rows += [f"({k}, {q}, {n}, '{t.label}', {t.exact}, {1.0 if t.exact else t.share}::double, '{' '.join(w[q : q + licenses.GRAM])}')" for q in range(n)]
     return ", ".join(rows)
 
 
@@ -133,13 +133,13 @@ SELECT page_id, n::bigint AS payload_bytes,
   CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> least THEN least END AS refers_to
 FROM r""",
     "op3_licenses": rf"""WITH l AS (SELECT row_number() OVER () id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM documents),
-t(k, q, n, label, exact, gram) AS (VALUES {_templates()}),
+t(k, q, n, label, exact, share, gram) AS (VALUES {_templates()}),
 u AS (SELECT id, w, unnest(range(len(w) - 2)) p FROM l WHERE len(w) > 2),
-m AS (SELECT id, k, n, label, exact, q, p - q d FROM u JOIN t ON w[p + 1] || ' ' || w[p + 2] || ' ' || w[p + 3] = gram),
+m AS (SELECT id, k, n, label, exact, share, q, p - q d FROM u JOIN t ON w[p + 1] || ' ' || w[p + 2] || ' ' || w[p + 3] = gram),
 s AS (SELECT *, CASE WHEN NOT exact AND d - lag(d) OVER (PARTITION BY id, k ORDER BY d) <= {licenses.SLACK} THEN 0 ELSE 1 END step FROM (SELECT DISTINCT id, k, exact, d FROM m)),
 c AS (SELECT id, k, d, sum(step) OVER (PARTITION BY id, k ORDER BY d) chain FROM s),
-v AS (SELECT m.id, m.label, m.exact, greatest(min(m.d), 0)::bigint start, count(DISTINCT q) / any_value(n) score FROM m JOIN c USING (id, k, d) GROUP BY m.id, m.k, m.label, m.exact, chain),
-f AS (SELECT * FROM v WHERE score >= CASE WHEN exact THEN 1 ELSE {licenses.SHARE} END)
+v AS (SELECT m.id, m.label, m.exact, m.share, greatest(min(m.d), 0)::bigint start, count(DISTINCT q) / any_value(n) score FROM m JOIN c USING (id, k, d) GROUP BY m.id, m.k, m.label, m.exact, m.share, chain),
+f AS (SELECT * FROM v WHERE score >= share)
 SELECT any_value(doc_id) AS doc_id, any_value(len(w))::bigint AS n_words, count(*) FILTER (exact) AS n_base, min(start) FILTER (exact) AS first_word, max(start) FILTER (exact) AS last_word,
   {_LABELS} FILTER (exact), '') AS base_labels, {_LABELS}, '') AS labels, coalesce(max(score), 0)::double AS score
 FROM l LEFT JOIN f USING (id) GROUP BY id""",

@@ -56,6 +56,30 @@ def test_license_texts_with_edits(spark):
     assert span["start"] in (6, 7)
 
 
+def test_licenses_are_told_from_their_relatives(spark):
+    notice = "GIMP is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version 3"
+    cc = "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
+    texts = {"gpl": notice.format(""), "lgpl": notice.format("Lesser "), "agpl": notice.format("Affero "), "cc-by": cc.format(""), "cc-by-sa": cc.format("-ShareAlike"), "cc-by-nc": cc.format("-NonCommercial"), "cc-by-nc-nd": cc.format("-NonCommercial-NoDerivatives")}
+    long = "word " * 200_000 + texts["lgpl"] + " word" * 200_000
+    df = spark.createDataFrame([(k, v) for k, v in texts.items()] + [("long", long), ("", "free software under the terms of the GNU General Public License")], "name string, text string")
+    got = {r["name"]: (r["labels"], r["n_base"]) for r in licenses.scan(df, ["name"]).collect()}
+    assert got == {**{k: (k, 0) for k in texts}, "long": ("lgpl", 0), "": ("", 0)}
+
+
+def test_license_grams_are_held_against_words():
+    """A run of words that has the hash of a template's gram, but not its words, is none of it."""
+    import pyarrow as pa
+
+    from heddle.llm.textkit import blocks
+
+    ((_, _, data, offsets),) = blocks(pa.array(["under the MIT license", "the mit"]))
+    words, grams = licenses.cut(data, offsets)
+    grams = grams.view("int64")
+    right, other = int(grams[0]), int(grams[1])
+    got = licenses.verified(words, grams, {right: b"under the mit", other: b"some other words"})
+    assert got[0] == right and got[1] == 0 and list(got[2:]) == list(grams[2:])
+
+
 def test_license_query(spark, docs):
     got = {r["doc_id"]: tuple(r)[:6] for r in queries.op3_licenses(spark, DATA).collect()}
     assert got == {d: (d, *brute.licenses(t)) for d, t in docs}

@@ -28,6 +28,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 WINDOW = 40
 #: Bytes of text in a part of the mixed documents, at most about; a small table has four parts for each core.
 PART = 64 << 20
+#: Bytes of text that a worker encodes at once; it then gives memory back, as later stages use the same workers.
+ENCODED = 1 << 20
 
 _open: list[Scratch] = []
 
@@ -85,7 +87,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens and the packed ids of every document, with a digest of what they decode to."""
     _begin(spark, "encode")
-    coded = bpe.round_trip(docs.select("doc_id", "source", "text"), VOCABULARY, public_tokenizers.PATTERN)
+    coded = bpe.round_trip(docs.select("doc_id", "source", "text"), VOCABULARY, public_tokenizers.PATTERN, lean=ENCODED)
     return coded.select("doc_id", "source", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

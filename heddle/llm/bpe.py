@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from heddle.llm.textkit import blocks
+from heddle.llm.textkit import blocks, release
 
 #: Bytes, about, of each generation of a worker's two caches; memory is bounded by four times that.
 CACHED = 8 << 20
@@ -360,14 +360,21 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
     return _mapped(df, {out: T.BinaryType()}, run)
 
 
-def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """``encode`` and ``decode`` in one pass over the rows, for uses that want both columns."""
+def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", lean: int = 0) -> DataFrame:
+    """``encode`` and ``decode`` in one pass over the rows, for uses that want both columns.
+
+    lean: bytes of text that are worked on at once, after which a worker gives back the memory that it has freed (0:
+    SHARED, and a worker keeps that). The results are the same.
+    """
 
     def run(batch: pa.RecordBatch):
         c = codec(path, pattern)
         texts = batch.column(batch.schema.get_field_index(text))
-        for i, j, _, _ in blocks(texts, SHARED):
+        for i, j, _, _ in blocks(texts, lean or SHARED):
             packed = c.encode_all(texts.slice(i, j - i).to_pylist())
             yield i, j, {ids: pa.array(packed, pa.binary()), decoded: pa.array(map(c.decode, packed), pa.binary())}
+            if lean:
+                del packed
+                release()
 
     return _mapped(df, {ids: T.BinaryType(), decoded: T.BinaryType()}, run)

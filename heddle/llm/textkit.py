@@ -6,6 +6,7 @@ into words and hashed with a few NumPy passes, so the cost of a word doesn't dep
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -145,3 +146,11 @@ def blocks(column: pa.Array, most: int = BLOCK) -> Iterator[tuple[int, int, np.n
         j = min(j, n)
         yield i, j, data[off[i] : off[j]], off[i : j + 1] - off[i]
         i = j
+
+
+def release() -> None:
+    """Gives memory that this process has freed back to the system, which allocators otherwise keep for its next use."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)

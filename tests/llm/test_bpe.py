@@ -1,6 +1,8 @@
 import hashlib
 import random
 import struct
+import subprocess
+import sys
 
 import public_tokenizers
 import pytest
@@ -9,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from heddle.llm import bpe, queries
+from heddle.session import ROOT
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 CODEC = bpe.codec(PATH, PATTERN)
@@ -84,3 +87,38 @@ def test_query(spark):
         assert row["n_tokens"] == len(want)
         assert row["ids_sha256"] == hashlib.sha256(struct.pack(f"<{len(want)}I", *want)).hexdigest()
         assert row["decoded_sha256"] == hashlib.sha256((r["text"] or "").encode()).hexdigest()
+
+
+LEAN = """
+import random, re, sys
+from types import SimpleNamespace
+import public_tokenizers, pyarrow as pa
+from pyspark.sql import types as T
+import corpus_pipeline
+from heddle.llm import bpe
+from heddle.llm.queries import VOCABULARY
+
+frame = SimpleNamespace(columns=["text"], schema=T.StructType([T.StructField("text", T.StringType())]), mapInArrow=lambda run, schema: run)
+rng = random.Random(3)
+words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(60_000)]
+batches = [pa.record_batch({"text": [" ".join(rng.choices(words, k=400)) for _ in range(1000)]}) for _ in range(3)]
+held = lambda: sum(map(int, re.findall(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) >> 10
+bpe.codec(VOCABULARY, public_tokenizers.PATTERN)
+before, most = held(), 0
+run = bpe.round_trip(frame, VOCABULARY, public_tokenizers.PATTERN, **({"lean": corpus_pipeline.ENCODED} if sys.argv[1] == "lean" else {}))
+rows = 0
+for out in run(iter(batches)):
+    assert out.column("decoded").cast(pa.string()).equals(out.column("text"))
+    rows += out.num_rows
+    most = max(most, held() - before)
+assert rows == 3000
+print(most, held() - before)
+"""
+
+
+def test_a_lean_worker_gives_memory_back():
+    held = {}
+    for how in ("lean", "plain"):
+        said = subprocess.run([sys.executable, "-c", LEAN, how], capture_output=True, text=True, cwd=ROOT, check=True, timeout=300).stdout
+        held[how] = [int(x) for x in said.split()[-2:]]
+    assert held["lean"][0] < held["plain"][0] * 0.8 and held["lean"][1] < held["plain"][1] * 0.7, held

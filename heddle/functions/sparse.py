@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,16 +55,26 @@ def from_json_text(text: Column | str) -> Column:
 
 
 def encode_text(sparse: Column | str) -> Column:
-    """``{i:v,...}/dimension`` with six decimals."""
+    """``{i:v,...}/dimension`` with six decimals, rounded as Python and C format them: the JVM takes exact ties up."""
+
+    @F.pandas_udf("array<string>")
+    def six(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda values: ["%.6f" % v for v in values])
+
     c = clean(sparse)
-    pairs = F.zip_with(c["indices"], c["values"], lambda i, v: F.format_string("%d:%.6f", i, v))
+    pairs = F.zip_with(c["indices"], six(c["values"]), lambda i, v: F.concat(i.cast("string"), F.lit(":"), v))
     return F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}/" + str(DIMENSION)))
 
 
 def encode_json(sparse: Column | str) -> Column:
-    """The JSON form, values rounded to six decimals."""
+    """The JSON form, values rounded to six decimals as Python rounds."""
+
+    @F.pandas_udf("array<double>")
+    def six(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda values: [round(float(v), 6) for v in values])
+
     c = clean(sparse)
-    return F.to_json(F.struct(c["indices"].alias("indices"), F.transform(c["values"], lambda v: F.round(v, 6)).alias("values")))
+    return F.to_json(F.struct(c["indices"].alias("indices"), six(c["values"]).alias("values")))
 
 
 def decode(text: Column | str) -> Column:

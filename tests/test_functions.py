@@ -69,6 +69,13 @@ def test_round_trip_of_clean_vectors(spark):
         assert (got["indices"], got["values"]) == s
 
 
+@pytest.mark.parametrize("value", [0.0078125, 0.0234375, 0.5000005, 5e-7, 1.0000025, 0.1234565])
+def test_decimals_are_pythons(spark, value):
+    s, schema = ([1], [value]), f"s {sparse.TYPE}"
+    assert one(spark, sparse.encode_text("s"), (s,), schema) == f"{{1:{value:.6f}}}/30522"
+    assert one(spark, sparse.decode(sparse.encode_json("s")), (s,), schema)["values"] == [round(value, 6)]
+
+
 @pytest.mark.parametrize("text", [None, "", "\t a \n", "\x1c x \x1f", " y ", "𝄞" * 3000, "a" * 2049, " " + "b " * 1500])
 def test_cap_text_is_pythons(spark, text):
     assert one(spark, scalar.cap_text("t"), (text,), "t string") == (text or "").strip()[:2048]

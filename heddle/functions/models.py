@@ -37,7 +37,8 @@ class Reranker(Protocol):
 
 
 class HashEncoder:
-    """Words hashed into dim signed components, and word shares as weights of hashed indices."""
+    """Words hashed into dim signed components, and word shares as weights of hashed indices. Words that cancel each
+    other out leave the first one's component, so only a text without words has a zero vector."""
 
     def __init__(self, dim: int = 64):
         self.dim = dim
@@ -52,6 +53,9 @@ class HashEncoder:
                 v[h % self.dim] += 1.0 if h >> 31 else -1.0
                 i = h % sparse.DIMENSION
                 weights[i] = weights.get(i, 0.0) + 1.0 / len(words)
+            if words and not any(v):
+                h = zlib.crc32(words[0].encode())
+                v[h % self.dim] = 1.0 if h >> 31 else -1.0
             out.append((v, weights))
         return out
 

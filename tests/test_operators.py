@@ -33,6 +33,39 @@ def test_blocks_dont_matter(spark, monkeypatch):
     assert {tuple(r)[:2] + (r["rank"],) for r in retrieval.search(jobs, cvs, 3).collect()} == whole
 
 
+def test_what_leaves_the_kernel_grows_with_the_tables(spark, monkeypatch):
+    monkeypatch.setattr(kernel, "SOURCES", 20)
+    monkeypatch.setattr(kernel, "CANDIDATES", 20)
+    monkeypatch.setattr(retrieval, "ranked", lambda found, most: found)
+    rows = fixtures.halves(spark, DATA).where("id < 200")
+    rows = [rows, rows.union(rows.withColumn("id", F.col("id") + 1000)).union(rows.withColumn("id", F.col("id") + 2000)).union(rows.withColumn("id", F.col("id") + 3000))]
+    small, large = (retrieval.search(x, x, 3).count() for x in rows)
+    assert small and large <= 4 * small  # 16 times, if every block of 20 candidates left its own best rows
+
+
+@pytest.mark.parametrize(("sources", "tasks"), [(1, 24), (250, 8), (5_000, 24), (300_000, 24), (3_000_000, 24), (300_000, 2000)])
+def test_grid(sources, tasks):
+    s, c = kernel.grid(sources, tasks)
+    assert s * c >= tasks and sources / s <= kernel.HELD and c <= max(tasks, 1)
+    if 24 * kernel.LEAST <= sources <= 12 * kernel.HELD:
+        assert (s, c) == kernel.grid(24 * kernel.LEAST, tasks) or tasks > 24
+
+
+def test_copies_come_by_id(spark, monkeypatch):
+    monkeypatch.setattr(kernel, "CANDIDATES", 30)
+    rows = fixtures.halves(spark, DATA)
+    copies = [rows.where(f"id = {i}").withColumn("id", F.explode(F.sequence(F.lit(1000 * i), F.lit(1000 * i + 80)))) for i in (1, 2, 3)]
+    zero = rows.where("id = 4").withColumn("problem_dense", F.transform("problem_dense", lambda x: F.lit(0.0).cast("float"))).withColumn("id", F.explode(F.sequence(F.lit(5000), F.lit(5070))))
+    every = rows.where("id < 40").union(copies[0]).union(copies[1]).union(copies[2]).union(zero)
+    got = retrieval.search(rows.where("id < 20"), every, 50).collect()
+    for i in {r["source_id"] for r in got}:
+        mine = sorted((r for r in got if r["source_id"] == i), key=lambda r: r["rank"])
+        assert [r["candidate_id"] for r in mine] == list(range(5000, 5050))
+    got = retrieval.search(rows.where("id < 20"), every.where("id < 5000"), 50).orderBy("source_id", "rank").collect()
+    want = retrieval.search_by_expressions(rows.where("id < 20"), every.where("id < 5000"), 50).orderBy("source_id", "rank").collect()
+    assert [(r["source_id"], r["candidate_id"], r["rank"]) for r in got] == [(r["source_id"], r["candidate_id"], r["rank"]) for r in want]
+
+
 def test_search_edges(spark):
     schema = f"id string, problem_dense array<float>, problem_sparse {tables.sparse.TYPE}, capability_dense array<float>, capability_sparse {tables.sparse.TYPE}"
     e = ([], [])

@@ -110,8 +110,8 @@ def embed(text: Column | str, make: Callable[[], Encoder] = HashEncoder, cap: bo
     return F.struct(out["dense"].alias("dense"), sparse.from_weights(F.map_from_arrays(out["tokens"], out["weights"])).alias("sparse"))
 
 
-def rerank_score(query: Column | str, text: Column | str, make: Callable[[], Reranker] = OverlapReranker, most: int = MAX_CHARS, size: int = BATCH) -> Column:
-    """A pair's score; both texts are capped."""
+def rerank_score(query: Column | str, text: Column | str, make: Callable[[], Reranker] = OverlapReranker, most: int = MAX_CHARS, size: int = BATCH, cap: bool = True) -> Column:
+    """A pair's score; both texts are capped unless cap is false, which is for texts that are already; null is empty."""
     key = _key(make)
 
     @F.pandas_udf("double")
@@ -124,7 +124,7 @@ def rerank_score(query: Column | str, text: Column | str, make: Callable[[], Rer
                 scores += [float(x) for x in (got if hasattr(got, "__iter__") else [got])]
             yield pd.Series(scores)
 
-    return run(cap_text(query, most), cap_text(text, most))
+    return run(*(cap_text(x, most) if cap else F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit("")) for x in (query, text)))
 
 
 def embed_table(df: DataFrame, column: str, make: Callable[[], Encoder] = HashEncoder, **how: object) -> DataFrame:

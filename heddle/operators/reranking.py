@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heddle.functions.models import BATCH, OverlapReranker, Reranker, rerank_score
-from heddle.functions.scalar import MAX_CHARS
+from heddle.functions.scalar import MAX_CHARS, cap_text
 from heddle.operators.retrieval import SCORES
 
 
@@ -19,9 +19,10 @@ def rerank(found: DataFrame, source_texts: DataFrame, candidate_texts: DataFrame
     most ``most`` pairs a source; equal scores keep the order of retrieval.
     """
     cut = found.where(F.col("rank") <= most)
-    texts = cut.join(source_texts.select(F.col("id").alias("source_id"), F.col("problem_text").alias("query")), "source_id", "left")
-    texts = texts.join(candidate_texts.select(F.col("id").alias("candidate_id"), F.col("problem_text").alias("text")), "candidate_id", "left")
-    scored = texts.withColumn("score", rerank_score("query", "text", make, max_chars, size))
+    # capped before the joins, so no whole text is shuffled; the source's last, as the ranking goes by source
+    texts = cut.join(candidate_texts.select(F.col("id").alias("candidate_id"), cap_text("problem_text", max_chars).alias("text")), "candidate_id", "left")
+    texts = texts.join(source_texts.select(F.col("id").alias("source_id"), cap_text("problem_text", max_chars).alias("query")), "source_id", "left")
+    scored = texts.withColumn("score", rerank_score("query", "text", make, max_chars, size, cap=False))
     order = Window.partitionBy("source_id").orderBy(F.col("score").desc(), "rank")
     return scored.withColumn("position", F.row_number().over(order).cast("bigint")).select("source_id", "candidate_id", "score", "position", "rank", *SCORES)
 

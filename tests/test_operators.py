@@ -132,6 +132,14 @@ def test_rerank_keeps_retrieval_order_of_ties(spark):
     assert (out["total_retrieved"], out["total_reranked"], [i["id"] for i in out["items"]]) == (3, 3, ["7", "9", "8"])
 
 
+def test_rerank_caps_texts_below_its_joins(spark):
+    found = spark.createDataFrame([(1, 9, 0.5, 0.5, 0.5, 1)], "source_id int, candidate_id int, problem_score double, capability_score double, final_score double, rank long")
+    t = spark.createDataFrame([(1, "a" * 9), (9, "a" * 9)], "id int, problem_text string")
+    plan = reranking.rerank(found, t, t, 5, max_chars=4)._jdf.queryExecution().optimizedPlan().toString()
+    joined = plan[plan.index("Join LeftOuter") :]
+    assert "substring(" not in plan.removesuffix(joined) and joined.count("substring(") == 2
+
+
 def test_backfill_binding_and_rejects(spark, tmp_path):
     class Broken(HashEncoder):
         def encode(self, texts):

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows that meet at once, of sources and of candidates: a matrix of all their scores is 16 MB.
@@ -161,10 +161,10 @@ def streamed(sources: DataFrame, candidates: DataFrame, fold: Callable[[pa.Table
     s, c = grid(sources.count(), 2 * spark.sparkContext.defaultParallelism)
     columns = [x for x in sources.columns if x != "id"]
 
-    def number(n: int) -> F.Column:
+    def number(n: int) -> Column:
         return F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
 
-    def each(n: int) -> F.Column:
+    def each(n: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
     kinds = [x.schema["id"].dataType for x in (sources, candidates)]
